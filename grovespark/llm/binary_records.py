@@ -38,7 +38,8 @@ from grovespark.llm.shared import shuffle_partitions, texts, work_path, write_ta
 from grovespark.llm.tokens import encoder
 
 _MASK = 0xA282EAD8
-_HEAD, _ID, _INDEX = struct.Struct("<QI"), struct.Struct("<BqB"), struct.Struct("<QqQ")
+_HEAD, _ID, _INDEX = "<QI", "<BqB", "<QqQ"
+_HEAD_SIZE, _ID_SIZE, _INDEX_SIZE = map(struct.calcsize, (_HEAD, _ID, _INDEX))
 SHARDS = "shard int, path string, n_docs long, n_tokens long"
 RECORDS = "shard int, ordinal long, doc_id long, n_tokens long, ids_crc32 long, ids binary, width int"
 
@@ -55,10 +56,10 @@ def frame(payload: bytes) -> bytes:
 
 def frames(stream) -> Iterator[bytes]:
     """The payloads of a shard; ValueError where a checksum doesn't hold or the shard is cut off."""
-    while head := stream.read(_HEAD.size):
-        if len(head) < _HEAD.size or masked(head[:8]) != _HEAD.unpack(head)[1]:
+    while head := stream.read(_HEAD_SIZE):
+        if len(head) < _HEAD_SIZE or masked(head[:8]) != struct.unpack(_HEAD, head)[1]:
             raise ValueError("a record's length is damaged")
-        n = _HEAD.unpack(head)[0]
+        n = struct.unpack(_HEAD, head)[0]
         body = stream.read(n + 4)
         if len(body) < n + 4 or masked(body[:n]) != struct.unpack("<I", body[n:])[0]:
             raise ValueError("a record's payload is damaged")
@@ -97,8 +98,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, splitter: str, e
                 for ids, run in text_runs(batch):
                     for doc_id, packed in zip(ids, coder.encode(run), strict=True):
                         count = (len(packed) + len(end)) // coder.dtype.itemsize
-                        idx.write(_INDEX.pack(offset, doc_id or 0, count))
-                        record = frame(_ID.pack(doc_id is None, doc_id or 0, coder.dtype.itemsize) + packed + end)
+                        idx.write(struct.pack(_INDEX, offset, doc_id or 0, count))
+                        record = frame(struct.pack(_ID, doc_id is None, doc_id or 0, coder.dtype.itemsize) + packed + end)
                         rec.write(record)
                         offset, n_docs, n_tokens = offset + len(record), n_docs + 1, n_tokens + count
         for kind in ("rec", "idx"):
@@ -119,8 +120,8 @@ def read_records(shards: DataFrame, with_ids: bool = True) -> DataFrame:
                 rows, size = [], 0
                 with store.open_input_stream(path, buffer_size=1 << 20) as stream:
                     for k, payload in enumerate(frames(stream)):
-                        null, doc_id, width = _ID.unpack_from(payload)
-                        ids = payload[_ID.size :]
+                        null, doc_id, width = struct.unpack_from(_ID, payload)
+                        ids = payload[_ID_SIZE :]
                         wide = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
                         rows.append((row["shard"], k, None if null else doc_id, len(ids) // width, zlib.crc32(wide), ids if with_ids else None, width))
                         size += len(ids)
@@ -143,12 +144,12 @@ def read_one(folder: str, shard: int, ordinal: int) -> tuple[int | None, np.ndar
     """One record through the offset index: (id, token ids)."""
     store, base = fs.FileSystem.from_uri(folder)
     with store.open_input_file(f"{base}/{shard:05d}.idx") as idx:
-        offset, _, _ = _INDEX.unpack(idx.read_at(_INDEX.size, ordinal * _INDEX.size))
+        offset, _, _ = struct.unpack(_INDEX, idx.read_at(_INDEX_SIZE, ordinal * _INDEX_SIZE))
     with store.open_input_file(f"{base}/{shard:05d}.rec") as rec:
         rec.seek(offset)
         payload = next(frames(rec))
-    null, doc_id, width = _ID.unpack_from(payload)
-    return None if null else doc_id, np.frombuffer(payload[_ID.size :], f"<u{width}")
+    null, doc_id, width = struct.unpack_from(_ID, payload)
+    return None if null else doc_id, np.frombuffer(payload[_ID_SIZE :], f"<u{width}")
 
 
 def record_digests(docs: DataFrame, tokenizer: str, splitter: str = "space", end_id: int = 1) -> DataFrame:
