@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grovespark.llm import binary_records, chat_format, decontaminate, media, packing, toxicity
+from grovespark.llm import binary_records, chat_format, decontaminate, jaccard_join, line_dedup, media, packing, substring_dedup, toxicity
 from grovespark.llm.shared import read_documents
 
 
@@ -28,10 +29,23 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(_table(spark, sf_dir, "conversations"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that go, by their place in the text."""
+    return line_dedup.repeated_lines(read_documents(spark, sf_dir)).select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), "lead"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_units(read_documents(spark, sf_dir))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the model rejects."""
     docs = read_documents(spark, sf_dir)
@@ -48,7 +62,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_binary_records, op2_chat_format, op4_packing, op7_toxicity, op8_decontamination, op9_media)}
+    return {f.__name__: f for f in (op1_binary_records, op2_chat_format, op3_line_dedup, op4_packing, op5_substring_dedup, op6_jaccard_join, op7_toxicity, op8_decontamination, op9_media)}
 
 
 #: op2 in DuckDB: lengths of marks are those of chat_format's templates.
@@ -69,5 +83,23 @@ FROM e GROUP BY conv_id
 """
 
 
+#: op3: runs of three lines that aren't blank (or a shorter document) that stand earlier too.
+_OP3 = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line
+  FROM documents WHERE length(text) > 0),
+l AS (
+  SELECT doc_id, line, trim(x, E' \t\r\x0b\x0c') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS i,
+    count(*) OVER (PARTITION BY doc_id) AS n
+  FROM raw WHERE trim(x, E' \t\r\x0b\x0c') <> ''),
+w AS (
+  SELECT doc_id, i, least(n, 3) AS size, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS content, n
+  FROM l),
+f AS (
+  SELECT doc_id, i, size, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS k FROM w WHERE i = 0 OR i + 3 <= n)
+SELECT DISTINCT l.doc_id, cast(l.line AS BIGINT) AS line FROM f JOIN l ON l.doc_id = f.doc_id AND l.i BETWEEN f.i AND f.i + f.size - 1 WHERE k > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2}
+    return {"op2_chat_format": _OP2, "op3_line_dedup": _OP3}
