@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm import binary_records, chat_format, decontaminate, jaccard_join, line_dedup, media, packing, substring_dedup, toxicity
+from grovespark.llm import binary_records, brown_lm, chat_format, decontaminate, jaccard_join, line_dedup, media, packing, substring_dedup, toxicity
 from grovespark.llm.shared import read_documents
 
 
@@ -61,8 +61,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(read_documents(spark, sf_dir)))
 
 
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.train_and_score(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_binary_records, op2_chat_format, op3_line_dedup, op4_packing, op5_substring_dedup, op6_jaccard_join, op7_toxicity, op8_decontamination, op9_media)}
+    return {f.__name__: f for f in (op1_binary_records, op2_chat_format, op3_line_dedup, op4_packing, op5_substring_dedup, op6_jaccard_join, op7_toxicity, op8_decontamination, op9_media, op10_brown_lm)}
 
 
 #: op2 in DuckDB: lengths of marks are those of chat_format's templates.
