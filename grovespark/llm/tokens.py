@@ -21,8 +21,8 @@ class PieceEncoder:
     text where white space stands otherwise is encoded whole.
     """
 
-    #: Pieces in the memo before it is emptied.
-    KEPT = 600_000
+    #: Pieces in the memo; when as many are there, those of the generation before go.
+    KEPT = 900_000
 
     def __init__(self, path: str, splitter: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,15 +34,46 @@ class PieceEncoder:
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+        #: Ids of a comma or full stop after a letter: a piece of its own in both vocabularies.
+        self.tails = {c: self._pack(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ",."}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces in rows of many, and share out the ids by their places in the row."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Put pieces into the memo. What differs from a word by a comma or full stop alone (or by ASCII
+        capitals, where the tokenizer drops them) is put together from that word."""
+        memo, before, tails = self.memo, self.before, self.tails
+        new, made = [], []
+        for p in pieces:
+            if p in before:
+                memo[p] = before[p]
+                continue
+            tail = p[-1]
+            core = p[:-1] if tail in tails else p
+            if not core.isalpha():
+                new.append(p)
+                continue
+            if self.splitter == "space" and core.isascii():
+                core = core.lower()
+            if core != p:
+                made.append((p, core, tails.get(tail, b"")))
+            if core not in memo:
+                if core in before:
+                    memo[core] = before[core]
+                else:
+                    memo[core] = b""
+                    new.append(core)
+        self._encode_new(new)
+        for p, core, tail in made:
+            memo[p] = memo[core] + tail
+
+    def _encode_new(self, new: list[str]) -> None:
+        """Encode pieces in rows of many, and share out the ids by their places in the row."""
         k = self.dtype.itemsize
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
+        for i in range(0, len(new), 512):
+            part = new[i : i + 512]
             if self.splitter == "space":
                 e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
                 ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
@@ -62,7 +93,8 @@ class PieceEncoder:
         """Packed ids of each text; only a bounded number of pieces is kept."""
         memo = self.memo
         if len(memo) > self.KEPT:
-            memo.clear()
+            self.before = memo
+            self.memo = memo = {}
         if self.splitter == "space":
             split = [_space_split(t) for t in texts]
             self._learn([p for p in set().union(*split) if p not in memo])
