@@ -10,8 +10,8 @@ for each document with its set's size and its component, so copies are never exp
    learns how many of them another class sent. Fewer than m(ceil(0.8 n)): it has no link. Most documents end here.
    Hashes travel packed, with those of a task counted first: a hash that a third of all classes has is sent
    once by each task.
-3. Families. The candidates' whole sets are ordered by how common a shingle is (rarest first, by bounded counters),
-   and any shingle in the first n - ceil(0.8 n) + 1 of several sets ties them into one family. Links never leave one.
+3. Families. The candidates' whole sets are ordered by how many of them have a shingle (rarest first; counted by ranges
+   of hashes), and any shingle in the first n - ceil(0.8 n) + 1 of several sets ties them into one family. Links never leave one.
 4. Prefix tree. The sets of a family are put into a tree, in a common order; each set is walked through
    it, sharing the overlap of what sets have in common, and a subtree is left out when the remaining lengths can't
    reach the overlap that a link needs, or when all its sets are already in the walker's component.
@@ -40,8 +40,8 @@ from grovespark.llm.shared import drop_table, shuffle_partitions, texts, write_t
 from grovespark.llm.text import chunks, shingle_set
 
 SHINGLE = 5
-#: Hashes that a task counts before it sends them; shingles in a block of a family; counters of step 3.
-RUN, BLOCK, COUNTERS = 1_000_000, 2_000_000, 1 << 22
+#: Hashes that a task counts before it sends them; shingles in a block of a family.
+RUN, BLOCK = 1_000_000, 2_000_000
 #: Bits of the sieve of candidates, at least and at most (16 for each candidate between).
 SIEVE = (1 << 20, 1 << 27)
 
@@ -230,7 +230,8 @@ def _sieve(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def candidate_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, n, tokens): the candidates' whole sets, packed; written at once."""
+    """(node, n, tokens, chunk): the candidates' whole sets, packed, in chunks of about 4 * RUN shingles; written
+    at once."""
     sieve, size = _sieve(found, found.count())
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
@@ -248,55 +249,113 @@ def candidate_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     some = docs.where(F.col("doc_id").isNotNull()).mapInArrow(select, "doc_id long, hi long, lo long, tokens binary")
     kept = some.join(found, ["hi", "lo"]).where(F.col("doc_id") == F.col("node")).select("node", "n", "tokens")
-    return write_table(kept.dropDuplicates(["node"]), "sets")
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = size + np.cumsum(batch.column("n").to_numpy())
+            yield batch.append_column("chunk", pa.array(chunk + sizes // (4 * RUN)))
+            size = int(sizes[-1]) if len(sizes) else size
 
-def _common(sets: DataFrame) -> np.ndarray:
-    """How often shingles occur in sets, in COUNTERS counters by their first bits."""
-    shift, each = np.uint64(64 - COUNTERS.bit_length() + 1), COUNTERS // 64
+    return write_table(kept.dropDuplicates(["node"]).mapInArrow(number, "node long, n long, tokens binary, chunk long"), "sets")
+
+
+def _counted(sets: DataFrame, bits: int) -> DataFrame:
+    """(chunk, hashes, counts): for the shingles of each chunk that more than one set has, how many have them.
+    Chunks send their distinct shingles to ranges of hashes and get back what the range has counted: a shingle comes
+    at most once from each run of sets, however common it is."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def done() -> pa.RecordBatch:
+            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+            rows = [(k, now, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            return _hash_rows(rows)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()] or [np.zeros(0, np.uint64)]) >> shift, return_counts=True)
-            block = at.astype(np.int64) // each
-            cuts = np.searchsorted(block, np.arange(65))
-            rows = [(k, (at[a:b].astype(np.int64) - k * each).astype(np.uint32).tobytes(), np.minimum(n[a:b], 1 << 31).astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "at", "n"])
+            for chunk, x in zip(batch.column("chunk").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if now is not None and (chunk != now or size > 2 * RUN):
+                    yield done()
+                    held, size = [], 0
+                now = chunk
+                held.append(np.frombuffer(x, np.uint64))
+                size += len(held[-1])
+        if held:
+            yield done()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            hashes, place = np.unique(np.concatenate([h for _, h, _ in held]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([c for _, _, c in held]).astype(np.float64), len(hashes)).astype(np.int64)
+            rows, low = [], 0
+            for chunk, h, _ in held:
+                mine = total[place[low : low + len(h)]]
+                many = mine > 1
+                low += len(h)
+                if many.any():
+                    rows.append((now, chunk, h[many].tobytes(), np.minimum(mine[many], (1 << 32) - 1).astype(np.uint32).tobytes()))
+            return _hash_rows(rows)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, at, n in zip(*(batch.column(k).to_pylist() for k in ("block", "at", "n")), strict=True):
-                total = totals.setdefault(block, np.zeros(each, np.int64))
-                total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(t, 65535).astype(np.uint16).tobytes() for t in totals.values()], pa.binary())], ["block", "n"])
+            for b, chunk, h, c in zip(*(batch.column(k).to_pylist() for k in ("bucket", "chunk", "hashes", "counts")), strict=True):
+                if now is not None and b != now:
+                    yield done()
+                    held = []
+                now = b
+                held.append((chunk, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)))
+        if held:
+            yield done()
 
-    rows = sets.mapInArrow(count, "block int, at binary, n binary").repartition(min(64, shuffle_partitions(sets.sparkSession)), "block").mapInArrow(add, "block int, n binary").collect()
-    out = np.zeros(COUNTERS, np.uint16)
-    for r in rows:
-        out[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["n"], np.uint16)
-    return out
+    schema = "bucket int, chunk long, hashes binary, counts binary"
+    asked = sets.select("chunk", "tokens").mapInArrow(ask, schema)
+    return asked.repartition(shuffle_partitions(sets.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, schema)
+
+
+def _hash_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "hashes", "counts"])
 
 
 def families(sets: DataFrame) -> DataFrame:
     """(node, component): sets tied by a shingle that is among the rarest of both."""
-    shared = sets.sparkSession.sparkContext.broadcast(_common(sets))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    counted = _counted(sets, max(6, min(24, (total // 500_000).bit_length())))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, shift = shared.value, np.uint64(64 - COUNTERS.bit_length() + 1)
+        now, parts, known, counts = None, [], None, None
         for batch in batches:
             tokens, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for node, n, x in zip(*(batch.column(k).to_pylist() for k in ("node", "n", "tokens")), strict=True):
+            for chunk, node, n, x, h, c in zip(*(batch.column(k).to_pylist() for k in ("chunk", "node", "n", "tokens", "hashes", "counts")), strict=True):
+                if chunk != now:
+                    now, parts, known = chunk, [], None
+                if x is None:  # what is counted comes before the chunk's sets
+                    parts.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)))
+                    continue
+                if known is None:
+                    known, first = np.unique(np.concatenate([*[p[0] for p in parts], np.zeros(0, np.uint64)]), return_index=True)
+                    counts = np.concatenate([*[p[1] for p in parts], np.zeros(0, np.uint32)])[first]
+                if not len(known):
+                    continue
                 s = np.frombuffer(x, np.uint64)
-                common = counts[(s >> shift).astype(np.int64)]
-                first = np.lexsort((s, common))[: n - least_common(n) + 1]
-                part = s[first[common[first] > 1]]  # a counter of 1: no other set has it
-                tokens.append(part)
-                nodes.append(np.full(len(part), node, np.int64))
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                shared = known[at] == s
+                # shingles of this set alone come first in the order, and tie it to nothing
+                left = n - least_common(n) + 1 - int(len(s) - np.count_nonzero(shared))
+                if left > 0:
+                    s, common = s[shared], counts[at[shared]]
+                    tokens.append(s[np.lexsort((s, common))[:left]])
+                    nodes.append(np.full(len(tokens[-1]), node, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
 
-    rows = sets.mapInArrow(rarest, "token long, node long")
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    first = counted.select("chunk", null("long", "node"), null("long", "n"), null("binary", "tokens"), "hashes", "counts")
+    both = first.unionByName(sets.select("chunk", "node", "n", "tokens", null("binary", "hashes"), null("binary", "counts")))
+    ordered = both.repartition(shuffle_partitions(sets.sparkSession), "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("node"))
+    rows = write_table(ordered.mapInArrow(rarest, "token long, node long"), "rarest")
     hubs = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("token", "a")
     return components(rows.join(hubs, "token").select("a", F.col("node").alias("b")).distinct())
 
