@@ -56,7 +56,7 @@ def pack(docs: DataFrame, tokenizer: str, splitter: str = "lead", end_id: int =
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    pieces = write_table(texts(docs).mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary, width int, task long, number long"), "pieces")
+    pieces = write_table(texts(docs).mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary, width int, task long, number long"), "pieces", "snappy")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))  # tasks x lengths rows
     before = counts.select("length", "task", (F.sum("n").over(Window.orderBy(F.desc("length"), "task")) - F.col("n")).alias("before"))
     numbered = pieces.join(F.broadcast(before), ["length", "task"])

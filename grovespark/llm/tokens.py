@@ -35,6 +35,8 @@ class PieceEncoder:
             self.n_bytes[i] = len(token)
         self.memo: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
+        #: Texts' first pieces, which no space leads.
+        self.heads: dict[str, bytes] = {}
         #: Ids of a comma or full stop after a letter: a piece of its own in both vocabularies.
         self.tails = {c: self._pack(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ",."}
 
@@ -110,8 +112,13 @@ class PieceEncoder:
     def _lead(self, text: str, pieces: list[str]) -> bytes:
         first, memo = pieces[0], self.memo
         if first and not first[-1].isspace() and "<|" not in text:
+            head = self.heads.get(first)
+            if head is None:
+                if len(self.heads) > self.KEPT // 10:
+                    self.heads.clear()
+                head = self.heads[first] = self._pack(self.tokenizer.encode(first, add_special_tokens=False).ids)
             try:
-                return self._pack(self.tokenizer.encode(first, add_special_tokens=False).ids) + b"".join([memo[p] for p in pieces[1:]])
+                return head + b"".join([memo[p] for p in pieces[1:]])
             except TypeError:  # a piece that can't be cut off
                 pass
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
