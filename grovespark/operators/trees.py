@@ -138,26 +138,28 @@ class Patched:
 
 
 def _apply(leaves: DataFrame, ops: DataFrame) -> Patched:
-    """Upserts and deletes without renames, the last on each path."""
-    last = last_ops(ops)
+    """Upserts and deletes without renames, the last on each path. What several later parts read is written once."""
+    scratch = Scratch(leaves.sparkSession)
+    last = scratch.keep(last_ops(ops))
     gone = last.select(F.col("path").alias("cover"))
     # what is at or below an operated path
     up = leaves.withColumn("cover", F.explode(F.concat(P.ancestors(F.col("path")), F.array("path"))))
-    covered = up.join(gone, "cover", "left_semi").select("path", "cover").distinct()
+    covered = scratch.keep(up.join(gone, "cover", "left_semi").select("path", "cover").distinct())
     kept = leaves.join(covered.select("path").distinct(), "path", "left_anti")
     upserts = last.where("op = 'upsert'")
     # of an upserted path and one below it, the shorter one wins
     below = upserts.select("path", F.explode(P.ancestors(F.col("path"))).alias("cover")).join(last.select(F.col("path").alias("cover")), "cover", "left_semi").select("path").distinct()
-    new = upserts.join(below, "path", "left_anti").select("path", "mode", "oid")
+    new = scratch.keep(upserts.join(below, "path", "left_anti").select("path", "mode", "oid"))
     above = new.select(F.explode(P.ancestors(F.col("path"))).alias("path")).distinct()
+    kept = scratch.keep(kept)
     blocked = kept.where(F.col("mode") != DIRECTORY).join(above, "path", "left_semi").select("path")
     stale = kept.where(F.col("mode") == DIRECTORY).join(above, "path", "left_semi").select("path")
-    placed = kept.join(stale, "path", "left_anti").unionByName(new)
+    placed = scratch.keep(kept.join(stale, "path", "left_anti").unionByName(new))
     # directories outlive their last entry
     were = leaves.select(F.explode(P.ancestors(F.col("path"))).alias("path")).distinct().where("path <> ''")
     dead = were.withColumn("cover", F.explode(F.concat(P.ancestors(F.col("path")), F.array("path")))).join(gone, "cover", "left_semi").select("path").distinct()
     full = placed.select(F.explode(F.concat(P.ancestors(F.col("path")), F.array("path"))).alias("path")).distinct()
-    empty = were.join(dead, "path", "left_anti").join(full, "path", "left_anti")
+    empty = scratch.keep(were.join(dead, "path", "left_anti").join(full, "path", "left_anti"))
     # the deepest of nested empty ones stands for those above it
     inner = empty.select(F.explode(P.ancestors(F.col("path"))).alias("path")).distinct()
     hollow = empty.join(inner, "path", "left_anti").select("path", F.lit(DIRECTORY).alias("mode"), F.lit(EMPTY_TREE).alias("oid"))
@@ -165,7 +167,7 @@ def _apply(leaves: DataFrame, ops: DataFrame) -> Patched:
     missing = last.where("op = 'delete'").join(covered.withColumnRenamed("path", "p"), F.col("path") == F.col("cover"), "left_anti").join(upserted, F.col("path") == F.col("cover"), "left_anti").select("seq", "path", F.lit("nothing there to delete").alias("error"))
     through = new.select("path", F.explode(P.ancestors(F.col("path"))).alias("up")).join(blocked.withColumnRenamed("path", "up"), "up").join(last.select("path", "seq"), "path").select("seq", "path", F.concat(F.lit("no directory: "), F.col("up")).alias("error"))
     bad = ops.where(P.path_error(F.col("path")).isNotNull()).select("seq", "path", P.path_error(F.col("path")).alias("error"))
-    return Patched(placed.unionByName(hollow), missing.unionByName(through).unionByName(bad).distinct())
+    return Patched(scratch.keep(placed.unionByName(hollow)), scratch.keep(missing.unionByName(through).unionByName(bad).distinct()))
 
 
 def patch(leaves: DataFrame, ops: DataFrame) -> Patched:

@@ -13,7 +13,7 @@ def spark():
     from grovespark.ship import ship
 
     session = (
-        SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "2").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g").config("spark.sql.python.filterPushdown.enabled", "true").config("spark.sql.streaming.stateStore.stateSchemaCheck", "true").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
