@@ -6,7 +6,7 @@ for each document with its set's size and its component, so copies are never exp
 1. Sets. Documents with equal sets are one class (a digest of 128 bits); only classes go on.
 2. Candidates. Two linked sets x, y share all but n - ceil(0.8 n) of each; so of the smallest hashes of x,
    n - ceil(0.8 n) + m of them, at least m are also among those of y, if x's end first. Each class
-   sends its n - ceil(0.8 n) + m(n) smallest hashes, m(n) = max(1, n // 20), to their range of hashes, and
+   sends its n - ceil(0.8 n) + m(n) smallest hashes, m(n) = max(1, n // 10), to their range of hashes, and
    learns how many of them another class sent. Fewer than m(ceil(0.8 n)): it has no link. Most documents end here.
    Hashes travel packed, with those of a task counted first: a hash that a third of all classes has is sent
    once by each task.
@@ -52,7 +52,7 @@ def least_common(n):
 
 
 def spare(n):
-    return np.maximum(1, n // 20)
+    return np.maximum(1, n // 10)
 
 
 def sent(n):
@@ -213,7 +213,7 @@ def candidates(docs: DataFrame, classes: DataFrame, hashes: int) -> DataFrame:
     bits = max(6, min(24, (hashes // 500_000).bit_length()))
     shared = _shared_hashes(_send(docs, bits)).groupBy("node").agg(F.sum("shared").alias("shared"))
     partner = F.expr("(80 * n + 99) div 100")
-    enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(partner / 20))
+    enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(partner / 10))
     return classes.join(shared.withColumnRenamed("node", "lo"), "lo").where(enough).select("hi", "lo", "n", "node")
 
 
