@@ -30,7 +30,8 @@ def resolve(refs: DataFrame) -> DataFrame:
     open_ = table.select("name", F.col("next").alias("at"), F.col("value").alias("oid"))
     done = open_.where("at IS NULL").select("name", F.lit(None).cast("string").alias("symref"), "oid", F.lit(None).cast("string").alias("error"))
     open_ = scratch.keep(open_.where("at IS NOT NULL"))
-    for _ in range(LONGEST_CHAIN):
+    # a chain longer than there are symbolic references is a circle
+    for _ in range(min(LONGEST_CHAIN, open_.count())):
         if open_.isEmpty():
             return done
         step = scratch.keep(open_.select("name", "at").join(table.select(F.col("name").alias("at"), "next", "value"), "at", "left"))

@@ -32,7 +32,14 @@ def live(log: DataFrame) -> DataFrame:
 
 def windowed(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Writes and deletes of each window of time; entries more than `late` behind are dropped by the watermark in a stream."""
-    kept = log.withWatermark("ts", late) if log.isStreaming else log
+    if log.isStreaming:  # a watermark needs moments; windows of the session's zone are named as in batch
+        moments = windowed_on(log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
+        kind = log.schema["ts"].dataType
+        return moments.withColumns({"start": F.col("start").cast(kind), "end": F.col("end").cast(kind)})
+    return windowed_on(log, width)
+
+
+def windowed_on(kept: DataFrame, width: str) -> DataFrame:
     grouped = kept.groupBy(F.window("ts", width).alias("w"))
     return grouped.agg(F.sum(F.when(F.col("op") == "write", 1).otherwise(0)).alias("writes"), F.sum(F.when(F.col("op") == "delete", 1).otherwise(0)).alias("deletes")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "writes", "deletes")
 
