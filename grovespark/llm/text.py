@@ -25,7 +25,7 @@ NO_LETTER = np.zeros(256, bool)
 NO_LETTER[[i for i in range(128) if not chr(i).isalnum()]] = True
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 #: Text bytes that are taken at once; a longer document is taken alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def _power(kind: str, n: int) -> np.ndarray:
