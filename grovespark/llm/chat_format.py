@@ -155,14 +155,15 @@ def canonical_json(records: DataFrame, column: str = "record", mappings: dict[st
     return records.select(column).mapInArrow(read, f"{TURNS}, error string")
 
 
-def escape(text: Column) -> Column:
-    for mark in ("\\", "[", "<"):
+def escape(text: Column, name: bool = False) -> Column:
+    """name: of a role, which a closing bracket ends too."""
+    for mark in ("\\", "[", "<", "]") if name else ("\\", "[", "<"):
         text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
     return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\\[<])", "$1")
+    return F.regexp_replace(text, r"\\([\\\[<\]])", "$1")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     loss_end (positions in formatted; null without loss)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     plain = F.upper(role)
-    name = F.when(role.isin("user", "assistant", "system"), plain).otherwise(F.concat(F.lit("ROLE "), escape(role)))
+    name = F.when(role.isin("user", "assistant", "system"), plain).otherwise(F.concat(F.lit("ROLE "), escape(role, name=True)))
     close = F.when(role.isin("user", "assistant", "system"), plain).otherwise(F.lit("ROLE"))
     head = F.concat(F.lit("<s>["), name, F.lit("] "))
     formatted = F.concat(head, escape(text), F.lit(" [/"), close, F.lit("]"))
@@ -186,7 +187,7 @@ def parse_turns(formatted: DataFrame) -> DataFrame:
     # (?s) lets a text run over lines; marks hold no backslash before their bracket
     known = F.regexp_extract("formatted", r"(?s)^<s>\[(USER|ASSISTANT|SYSTEM)\] ", 1)
     other = F.regexp_extract("formatted", r"(?s)^<s>\[ROLE ((?:\\.|[^\\\]])*)\] ", 1)
-    role = F.when(known != "", F.lower(known)).otherwise(unescape(F.replace(other, F.lit("\\]"), F.lit("]"))))
+    role = F.when(known != "", F.lower(known)).otherwise(unescape(other))
     head = F.when(known != "", F.length(known) + 6).otherwise(F.length(other) + 11)
     tail = F.when(known != "", F.length(known) + 4).otherwise(F.lit(8))
     body = F.substr("formatted", head + 1, F.length("formatted") - head - tail)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grovespark.llm.components import components
-from grovespark.llm.shared import drop_table, shuffle_partitions, texts, write_table
+from grovespark.llm.shared import drop_table, fresh, shuffle_partitions, texts, write_table
 from grovespark.llm.text import chunks, shingle_set
 
 SHINGLE = 5
@@ -112,8 +112,10 @@ def _send(docs: DataFrame, bits: int) -> DataFrame:
             rows = []
             for kept, with_nodes in ((~many, True), (many & first, False)):
                 hashes, owners = t[kept], v[kept]
+                if not len(hashes):
+                    continue
                 bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
                     rows.append(_packed(bucket[a], hashes[a:b], owners[a:b] if with_nodes else owners[:0]))
             if many.any():
@@ -534,5 +536,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component; rows without words or
     without an id stay."""
-    first = jaccard_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
+    doc, own = fresh(docs, "doc", "id")
+    first = jaccard_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.withColumn(own, F.col("doc_id").cast("long")).join(first, F.col(own).eqNullSafe(F.col(doc)), "left_semi").drop(own)

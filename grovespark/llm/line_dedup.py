@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.llm.shared import write_table
+from grovespark.llm.shared import fresh, write_table
 
 #: Lines of the shortest run that counts.
 RUN = 3
@@ -85,14 +85,15 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     ends = gone.groupBy("doc", "mark").agg(F.max("line").alias("last"))
     flags = ends.select("doc", "mark", F.explode(F.sequence(F.lit(0), "last")).alias("line"), F.lit("0").alias("flag")).unionByName(gone.withColumn("flag", F.lit("1")))
     flags = flags.groupBy("doc", "mark", "line").agg(F.max("flag").alias("flag"))
+    doc, mark, mask, count, own_id, own_mark = fresh(docs, "doc", "mark", "mask", "count", "id", "text")
     masks = flags.groupBy("doc", "mark").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "flag"))), lambda x: x["flag"]), "").cast("binary").alias("__mask"),
-        F.sum(F.col("flag").cast("int")).alias("__count"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "flag"))), lambda x: x["flag"]), "").cast("binary").alias(mask),
+        F.sum(F.col("flag").cast("int")).alias(count),
     )
-    masks = masks.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), "__mask", F.col("__count"))
-    marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.xxhash64(text_col)})
-    both = marked.join(masks, marked["__id"].eqNullSafe(masks["__doc"]) & (marked["__text"] == masks["__mark"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: (i >= F.length("__mask")) | (F.substring(F.col("__mask"), i + 1, F.lit(1)) == F.lit(b"0")))
-    new = F.when(F.col("__count") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    out = both.select(*[(new if c == text_col else F.col(c)).alias(c) for c in docs.columns], F.coalesce("__count", F.lit(0)).cast("int").alias("lines_deleted"))
+    masks = masks.withColumnsRenamed({"doc": doc, "mark": mark})
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_mark: F.xxhash64(text_col)})
+    both = marked.join(masks, F.col(own_id).eqNullSafe(F.col(doc)) & (F.col(own_mark) == F.col(mark)), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: (i >= F.length(mask)) | (F.substring(F.col(mask), i + 1, F.lit(1)) == F.lit(b"0")))
+    new = F.when(F.col(count) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    out = both.select(*[(new if c == text_col else F.col(c)).alias(c) for c in docs.columns if c != "lines_deleted"], F.coalesce(count, F.lit(0)).cast("int").alias("lines_deleted"))
     return out.where((F.col("lines_deleted") == 0) | F.col(text_col).rlike(r"[^ \t\r\n\x0b\x0c]"))

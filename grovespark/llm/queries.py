@@ -77,7 +77,7 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, length(replace(replace(replace(text, '\', '\\'), '[', '\['), '<', '\<')) AS n_text,
-    length(replace(replace(replace(role, '\', '\\'), '[', '\['), '<', '\<')) AS n_role FROM t)
+    length(replace(replace(replace(replace(role, '\', '\\'), '[', '\['), '<', '\<'), ']', '\]')) AS n_role FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -105,5 +105,31 @@ SELECT DISTINCT l.doc_id, cast(l.line AS BIGINT) AS line FROM f JOIN l ON l.doc_
 """
 
 
+#: op5: units are lines cut after . ! ? before a space; their words tell them apart.
+_OP5 = r"""
+WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?]) ', '\1' || chr(1) || ' ', 'g'), chr(1)) AS parts FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM p),
+o AS (SELECT doc_id, part, coalesce(sum(octet_length(encode(part))) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM u),
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS words,
+    cast(place + octet_length(encode(regexp_extract(part, '^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*'))) AS BIGINT) AS start,
+    cast(place + octet_length(encode(regexp_replace(part, '[\t\n\x0b\x0c\r ]+$', ''))) AS BIGINT) AS "end" FROM o),
+f AS (SELECT doc_id, start, "end", cast(len(words) AS INTEGER) AS n_words,
+    first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start FROM w WHERE len(words) >= 8 WINDOW g AS (PARTITION BY words ORDER BY doc_id, start))
+SELECT * FROM f WHERE doc_id <> first_doc_id OR start <> first_start
+"""
+
+#: op6: all pairs that share a shingle, then the smallest id that links reach.
+_OP6 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM t),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+near AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, near.b FROM r JOIN near ON near.a = r.seen)
+SELECT s.doc_id, cast(len(s.shingles) AS BIGINT) AS n_shingles, min(r.seen) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.shingles
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op3_line_dedup": _OP3}
+    return {"op2_chat_format": _OP2, "op3_line_dedup": _OP3, "op5_substring_dedup": _OP5, "op6_jaccard_join": _OP6}

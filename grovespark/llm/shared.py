@@ -49,6 +49,15 @@ def drop_table(table: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names for columns beside df's own: each with as many underscores before it as none of df's has."""
+    own = {c.lower() for c in df.columns}
+    start = "__"
+    while any(f"{start}{n}".lower() in own for n in names):
+        start += "_"
+    return tuple(f"{start}{n}" for n in names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovespark.llm.shared import texts, write_table
-from grovespark.llm.text import NO_LETTER, Words, chunks, mix
+from grovespark.llm.shared import fresh, texts, write_table
+from grovespark.llm.text import NO_LETTER, SPACE, Words, chunks, mix
 
 LEAST_WORDS = 8
 UNITS = "high long, low long, doc_id long, start long, end long, n_words int"
@@ -50,18 +50,13 @@ def units(part: Words, least: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
     long = count >= least
     first, count, high, low = first[long], count[long], mix(high[long]), mix(low[long])
     doc = np.searchsorted(part.first, first, "right") - 1
-    # without the white space around it
-    end = np.append(breaks, n)[unit[first]]
-    end = part.ends[first + count - 1] + _tail(data, part.ends[first + count - 1], end)
+    # from the first word to the last byte that isn't white space
+    solid = ~SPACE[data]
+    solid = np.maximum.accumulate(np.where(solid, np.arange(1, n + 1), 0))
+    end = solid[np.append(breaks, n)[unit[first]] - 1]
     return doc, high.view(np.int64), low.view(np.int64), part.starts[first] - part.offsets[doc], end - part.offsets[doc], count
 
 
-def _tail(data: np.ndarray, after: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """How many bytes that aren't white space stand between a unit's last word and its end."""
-    solid = np.concatenate(([0], np.cumsum(~np.isin(data, (9, 10, 11, 12, 13, 32)))))
-    return solid[end] - solid[after]
-
-
 def find_units(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Every unit of docs with its digest and place."""
 
@@ -90,14 +85,15 @@ def dedup_units(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id
     """docs without their repeated units, and `kept`: the (start, end) of what is left, in bytes of the original
     text. A null text stays null with kept null; other columns are as before."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = repeated_units(plain, least).groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
-    both = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__doc"]), "left").drop("__doc")
-    kinds = docs.schema.names
+    doc, spans_col, own = fresh(docs, "doc", "gone", "id")
+    gone = repeated_units(plain, least).groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans_col))
+    both = docs.withColumn(own, F.col(id_col).cast("long")).join(gone, F.col(own).eqNullSafe(F.col(doc)), "left").drop(doc, own)
+    kinds = [c for c in docs.columns if c != "kept"]  # a column of that name is replaced
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new, kept = [], []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column(spans_col).to_pylist(), strict=True):
                 raw, at, left = (text or "").encode(), 0, []
                 for span in spans or []:
                     if span["start"] > at:
@@ -110,5 +106,5 @@ def dedup_units(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id
             columns = [pa.array(new, pa.string()) if name == text_col else batch.column(name) for name in kinds]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*kinds, "kept"])
 
-    schema = T.StructType(docs.schema.fields).add("kept", "array<struct<start:bigint,end:bigint>>")
+    schema = T.StructType([f for f in docs.schema if f.name != "kept"]).add("kept", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
     return both.mapInArrow(cut, schema)
