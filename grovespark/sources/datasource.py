@@ -114,7 +114,7 @@ class LooseReader(_Reader):
 
 class PackReader(_Reader):
     def partitions(self):
-        return [FilePart([p]) for p, _ in list_files(self.path, ".pack")]
+        return [FilePart([p]) for p, _ in list_files(self.path, ".pack")] or [FilePart([])]
 
     def read(self, partition):
         for path in partition.paths:
