@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grovespark.errors import ObjectNotFoundError
-from grovespark.storage import Scratch
+from grovespark.operators.packs import positions
+from grovespark.storage import Scratch, numbered
 
 #: Edges (two ids each) that are taken to the driver at most.
 SMALL = 500_000
@@ -254,10 +255,12 @@ def log(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: DataFra
         keys = [F.desc("ts"), F.desc("generation"), F.col("oid")]
     if until is not None:
         kept = kept.where(F.col("ts") <= until)
-    rows = kept.orderBy(*keys).offset(skip)
-    rows = rows if max_count is None else rows.limit(max_count)
-    numbered = rows.withColumn("position", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
-    return numbered.drop("__rank", "generation")
+    if max_count is not None:
+        rows = kept.orderBy(*keys).limit(skip + max_count)  # so many rows at most are in one place
+        out = rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
+    else:
+        out = numbered(kept, keys)
+    return out.where(F.col("position") >= skip).withColumn("position", F.col("position") - skip).drop("__rank", "generation")
 
 
 def _topo_order(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -298,5 +301,5 @@ def all_closures(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def type_bitmaps(objects: DataFrame) -> DataFrame:
     """(type, bucket, bits): which positions (in the order of ids) hold each type, as Spark's bitmaps."""
-    at = objects.select("type", F.row_number().over(Window.orderBy("oid")).cast("long").alias("position"))
+    at = positions(objects.select("oid", "type")).withColumn("position", F.col("position") + 1)
     return at.groupBy("type", F.bitmap_bucket_number("position").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bits"))

@@ -60,8 +60,13 @@ def incremental(index: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def positions(index: DataFrame) -> DataFrame:
-    """index with `position` in the order of ids."""
-    return index.withColumn("position", F.row_number().over(Window.orderBy("oid")).cast("bigint") - 1)
+    """index with `position` in the order of ids. Ids are spread evenly by their first four digits: each such range is numbered for
+    itself, and the counts of the ranges say where it begins."""
+    rows = index.withColumn("__range", F.substring("oid", 1, 4))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # 65,536 rows at most
+    own = rows.withColumn("position", F.row_number().over(Window.partitionBy("__range").orderBy("oid")).cast("bigint") - 1)
+    return own.join(F.broadcast(starts), "__range").withColumn("position", F.col("position") + F.col("__start")).drop("__range", "__start")
 
 
 def uncovered(packs: DataFrame, midx: DataFrame) -> DataFrame:

@@ -194,7 +194,11 @@ def worktree_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worktree.overlay(X.snapshot_a(spark, sf_dir), X.overlay_ops(spark, sf_dir))
 
 
-@_query(_OVERLAY)
+@_query(f"""
+WITH left_over AS ({_OVERLAY.strip()})
+SELECT path, mode, oid FROM left_over UNION ALL
+SELECT DISTINCT source || '/' || lang, '040000', '4b825dc642cb6eb9a060e54bf8d69288fbee4904' FROM documents
+WHERE source || '/' || lang NOT IN (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM left_over)""")
 def tree_patch_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.patch(X.snapshot_a(spark, sf_dir), X.overlay_ops(spark, sf_dir).withColumn("from_path", F.lit(None).cast("string")).withColumn("to_path", F.lit(None).cast("string"))).leaves
 

@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.errors import TransactionError
+from grovespark.errors import PackIndexError, TransactionError
 from grovespark.functions.codecs import framed, object_id
 from grovespark.functions.names import require_ref_name
 from grovespark.operators import packs as P
@@ -159,3 +159,51 @@ def swap_table(df: DataFrame, folder: str) -> str:
 
 def read_table(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
     return spark.read.parquet(f"{folder}/{version or read_file(f'{folder}/CURRENT').decode()}")
+
+
+def chain_layers(folder: str) -> list[str]:
+    """Paths of an incremental multi-pack index's layers, base first; none where the chain or a layer is damaged."""
+    chain = f"{folder}/multi-pack-index.d/multi-pack-index-chain"
+    try:
+        names = read_file(chain).decode().split()
+        paths = [f"{folder}/multi-pack-index.d/multi-pack-index-{n}.midx" for n in names]
+        for name, path in zip(names, paths, strict=True):
+            data = read_file(path)
+            packfile.read_midx(data)
+            if data[-20:].hex() != name:
+                return []
+        return paths
+    except (OSError, PackIndexError):
+        return []
+
+
+def chain_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(layer, oid, pack, offset): every layer's rows; newest_layer() of it is the look-up."""
+    paths = spark.createDataFrame(list(enumerate(chain_layers(folder))), "layer int, path string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for layer, path in zip(batch.column("layer").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                names, rows = packfile.read_midx(read_file(path))
+                o, p, at = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([layer] * len(o), pa.int32()), pa.array(o, pa.string()), pa.array([names[k].removesuffix(".idx") + ".pack" for k in p], pa.string()), pa.array(at, pa.int64())], ["layer", "oid", "pack", "offset"])
+
+    return paths.repartition("path").mapInArrow(read, "layer int, oid string, pack string, offset long")
+
+
+def write_incremental_index(index: DataFrame, folder: str) -> int:
+    """A new layer over packs (pack, oid, offset): ids that no layer has yet; how many. Without new ids nothing is written."""
+    spark, layers = index.sparkSession, chain_layers(folder)
+    base = chain_index(spark, folder).select("oid") if layers else spark.createDataFrame([], "oid string")
+    fresh = index.join(base, "oid", "left_anti")
+    names = sorted(r["pack"] for r in fresh.select("pack").distinct().collect())
+    if not names:
+        return 0
+    numbered = fresh.withColumn("pack_id", F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])[F.col("pack")])
+    rows = [(r["oid"], r["pack_id"], r["offset"]) for r in P.winners(numbered.select("oid", "pack_id", "offset")).collect()]
+    data = packfile.write_midx([n.removesuffix(".pack") + ".idx" for n in names], rows, len(layers))
+    name = data[-20:].hex()
+    put_file(f"{folder}/multi-pack-index.d/multi-pack-index-{name}.midx", data)
+    known = [p.rsplit("-", 1)[-1].removesuffix(".midx") for p in layers]
+    put_file(f"{folder}/multi-pack-index.d/multi-pack-index-chain", "\n".join([*known, name, ""]).encode())
+    return len(rows)

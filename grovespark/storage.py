@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +36,20 @@ class Scratch:
     def drop(self, number: int) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{number}")
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def numbered(df: DataFrame, keys: list[Column], name: str = "position") -> DataFrame:
+    """df with the place of each row in the order of keys, from 0. Rows are sorted by ranges, numbered in each, and the ranges'
+    counts (a row for each partition) say where each one begins: no task sees all rows."""
+    spark = df.sparkSession
+    sorted_ = df.orderBy(*keys).withColumn("__id", F.monotonically_increasing_id())
+    table = Scratch(spark).keep(sorted_)
+    part = F.shiftright("__id", 33)
+    counts = sorted((r["p"], r["count"]) for r in table.groupBy(part.alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    begin = F.broadcast(spark.createDataFrame(starts, "__part bigint, __start bigint"))
+    own = table.withColumn("__part", part)
+    return own.join(begin, "__part").withColumn(name, F.col("__start") + F.col("__id") - F.shiftleft("__part", 33)).drop("__part", "__start", "__id")

@@ -130,3 +130,18 @@ def test_object_edges(spark):
     there = spark.createDataFrame([("c1",), ("t1",), ("b1",), ("g1",)], "oid string")
     root = spark.createDataFrame([("g1",)], "oid string")
     assert rows(graph.reachable(e, there, root, absent="skip_parents")) == [("b1",), ("c1",), ("g1",), ("t1",)]
+
+
+def test_positions(spark):
+    import hashlib
+
+    from grovespark.operators.packs import positions
+    from grovespark.storage import numbered
+
+    ids_ = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(300)]
+    df = spark.createDataFrame([(i, "blob" if k % 3 else "tree") for k, i in enumerate(ids_)], "oid string, type string")
+    assert rows(positions(df), "oid", "position") == [(i, k) for k, i in enumerate(sorted(ids_))]
+    assert rows(numbered(df, [df["oid"].desc()]), "oid", "position") == sorted((i, k) for k, i in enumerate(sorted(ids_, reverse=True)))
+    bits = graph.type_bitmaps(df).selectExpr("type", "bitmap_count(bits) AS n")
+    assert rows(bits) == [("blob", 200), ("tree", 100)]
+    assert numbered(df.where("false"), [df["oid"]]).count() == 0
