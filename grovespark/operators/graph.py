@@ -23,12 +23,15 @@ from grovespark.storage import Scratch, numbered
 SMALL = 500_000
 
 
-def _is_small(edges: DataFrame, small: int) -> bool:
-    return small > 0 and edges.limit(small + 1).count() <= small
+def _few(rows: DataFrame, small: int):
+    """rows as an Arrow table, or null if there are more than `small`; one job, which brings small + 1 rows at most."""
+    if small <= 0:
+        return None
+    table = rows.limit(small + 1).toArrow()
+    return table if table.num_rows <= small else None
 
 
-def _adjacency(edges: DataFrame) -> dict:
-    table = edges.select("child", "parent").toArrow()
+def _adjacency(table) -> dict:
     out = defaultdict(list)
     for c, p in zip(table.column("child").to_pylist(), table.column("parent").to_pylist(), strict=True):
         out[c].append(p)
@@ -44,8 +47,9 @@ def closure(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None, s
     (a shallow boundary, or what is known already). Null ids are passed over."""
     spark = edges.sparkSession
     roots = roots.select("oid").where("oid is not null").distinct()
-    if _is_small(edges, small):
-        near = _adjacency(edges)
+    table = _few(edges.select("child", "parent"), small)
+    if table is not None:
+        near = _adjacency(table)
         halt = {r["oid"] for r in stop.select("oid").collect()} if stop is not None else set()
         seen = {r["oid"] for r in roots.collect()}
         todo = list(seen)
@@ -140,12 +144,14 @@ def is_ancestor(edges: DataFrame, pairs: DataFrame, objects: DataFrame | None =
     ancestors; so is anything if a walk comes upon a missing id of the boundary. Pairs are walked together."""
     spark = edges.sparkSession
     there = edges if objects is None else edges.join(objects.select(F.col("oid").alias("child")), "child", "left_semi")
-    if _is_small(there, small) and pairs.limit(10_001).count() <= 10_000:
-        near = _adjacency(there)
+    table = _few(there.select("child", "parent"), small)
+    asked = _few(pairs.select("old", "new").distinct(), 10_000) if table is not None else None
+    if asked is not None:
+        near = _adjacency(table)
         have = {r["oid"] for r in objects.select("oid").collect()} if objects is not None else None
         edge = {r["oid"] for r in boundary.select("oid").collect()} if boundary is not None else set()
         out = []
-        for old, new in {(r["old"], r["new"]) for r in pairs.select("old", "new").collect()}:
+        for old, new in zip(asked.column("old").to_pylist(), asked.column("new").to_pylist(), strict=True):
             seen, todo, found = {new}, [new], old == new
             while todo and not found:
                 for p in near.get(todo.pop(), ()):
@@ -191,13 +197,15 @@ def _longest(edges: DataFrame, nodes: DataFrame, small: int, name: str) -> DataF
     spark = edges.sparkSession
     nodes = nodes.select("oid").distinct()
     inside = edges.join(nodes.select(F.col("oid").alias("child")), "child", "left_semi").join(nodes.select(F.col("oid").alias("parent")), "parent", "left_semi").select("child", "parent")
-    if _is_small(inside, small) and nodes.limit(small + 1).count() <= small:
+    table, all_nodes = _few(inside, small), None
+    if table is not None:
+        all_nodes = _few(nodes, small)
+    if all_nodes is not None:
         up, waits = defaultdict(list), defaultdict(int)
-        table = inside.toArrow()
         for c, p in zip(table.column("child").to_pylist(), table.column("parent").to_pylist(), strict=True):
             up[p].append(c)
             waits[c] += 1
-        level = {i: 0 for i in nodes.toArrow().column("oid").to_pylist()}
+        level = {i: 0 for i in all_nodes.column("oid").to_pylist()}
         ready = [i for i in level if not waits[i]]
         while ready:
             now = ready.pop()
@@ -243,6 +251,7 @@ def log(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: DataFra
     date: by time, then generation (a child before its parent of the same time), then id. since prunes the walk.
     topo: a child always before its parents, the newest first among those ready; since and until only hide rows.
     Parents that aren't there are passed over; a start that isn't there gives nothing."""
+    edges = Scratch(commits.sparkSession).keep(edges)  # several walks read them
     found = history(commits, edges, start, exclude, first_parent, since if order == "date" else None, small)
     if order == "topo":
         rank = _topo_order(found, edges.where("ord = 0") if first_parent else edges)
