@@ -625,3 +625,93 @@ def ref_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovespark.streaming.ref_log import windowed
 
     return windowed(X.ref_log(spark, sf_dir)).select("start", F.col("writes").cast("bigint"), F.col("deletes").cast("bigint"))
+
+
+# Smaller operators
+
+
+@_query(f'WITH {_PACK} SELECT w.oid, w.pack, w."offset" FROM w WHERE oid IN (SELECT {_oid("text")} FROM documents WHERE doc_id % 25 = 0)')
+def pack_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = packs.offsets(X.pack_entries(spark, sf_dir)).select("oid", "pack", "offset")
+    return packs.lookup(index, X.blobs(spark, sf_dir).where("doc_id % 25 = 0"))
+
+
+@_query(f"WITH {_PACK} SELECT DISTINCT pack FROM p WHERE pack NOT IN (SELECT pack FROM p WHERE seq % 3 = 1 AND pack < 3)")
+def packs_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = X.pack_entries(spark, sf_dir)
+    return packs.uncovered(e.select("pack").distinct(), e.where("seq % 3 = 1 AND pack < 3"))
+
+
+@_query(f"WITH {_PACK} SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS position FROM (SELECT DISTINCT oid FROM p)")
+def pack_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.positions(X.pack_entries(spark, sf_dir).select("oid").distinct())
+
+
+@_query(f"SELECT name, 'refs/remotes/origin/' || substr(name, 12) AS local_ref FROM ({_LIVE})")
+def refspec_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = names.RefSpec.parse("refs/heads/*:refs/remotes/origin/*")
+    return _live(spark, sf_dir).where(spec.matches(F.col("name"))).select("name", spec.maps(F.col("name")).alias("local_ref"))
+
+
+@_query(f"SELECT path, {_KIND.format(m='mode')} AS kind, mode AS disk_mode, mode IN ('100644', '100755') AS is_blob FROM ({_B})")
+def mode_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("mode")
+    return X.snapshot_b(spark, sf_dir).select("path", paths.kind(m).alias("kind"), paths.disk_mode(m).alias("disk_mode"), paths.is_blob_mode(m).alias("is_blob"))
+
+
+@_query("SELECT DISTINCT source AS name, 'tree' AS kind FROM documents")
+def worktree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worktree.Worktree(X.snapshot_a(spark, sf_dir)).children("").select("name", "kind")
+
+
+@_query(f"""
+WITH o AS ({_OVERLAY}), a AS ({_A}) SELECT path, mode, oid FROM o WHERE path NOT LIKE 'src1/%' UNION ALL SELECT path, mode, oid FROM a WHERE path LIKE 'src1/%'""")
+def worktree_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = X.snapshot_a(spark, sf_dir)
+    return worktree.Worktree(base, worktree.overlay(base, X.overlay_ops(spark, sf_dir))).restore("src1").current
+
+
+@_query(f"""
+WITH r AS ({_LIVE}) SELECT coalesce(t.oid, repeat('0', 40)) AS old_oid, r.oid AS new_oid, 'refs/heads/user-1' || substr(r.name, 17) AS ref
+FROM r LEFT JOIN r t ON t.name = 'refs/heads/user-1' || substr(r.name, 17) WHERE r.name LIKE 'refs/heads/user-%'""")
+def push_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _live(spark, sf_dir)
+    return pushing.commands(pushing.plan_refs(r, r, [names.RefSpec.parse("refs/heads/user-*:refs/heads/user-1*")]))
+
+
+@_query(_IMPORT + """
+SELECT local_ref AS ref, CASE WHEN NOT here THEN CASE WHEN back THEN 'it isn''t there' END WHEN NOT back THEN 'it is there already' WHEN first <> last THEN 'it has another value' END AS error FROM j WHERE there""")
+def receive_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The remote's tips sent as new branches, and every ninth as a move from its first commit."""
+    remote, local, objects, _ = _import_inputs(spark, sf_dir)
+    number = F.regexp_extract("name", r"(\d+)$", 1).cast("int")
+    sent = remote.select(F.when(number % 9 == 0, F.col("oid")).otherwise(F.lit("0" * 40)).alias("old_oid"), F.col("oid").alias("new_oid"), F.col("name").alias("ref"))
+    return pushing.check_updates(sent, local, objects).select("ref", "error")
+
+
+@_query("SELECT oid FROM (SELECT o_orderkey AS oid FROM orders WHERE o_orderkey % 9 = 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0)")
+def push_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.commits(spark, sf_dir).select("oid")
+    return refs.push_boundaries(c.where("oid % 9 = 0"), c.where("oid % 6 = 0"))
+
+
+@_query("""
+SELECT o_orderkey, lpad(cast(o_custkey AS VARCHAR), 40, '0') AS tree, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS parents, 'Clerk <c@x>' AS author, cast(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority AS message FROM orders""")
+def commit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits written as text expressions and parsed back."""
+    o = X.table(spark, sf_dir, "orders")
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 40, "0")
+    who = F.concat(F.lit("Clerk <c@x> "), F.unix_timestamp("o_orderdate").cast("string"), F.lit(" +0000"))
+    parent = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("parent "), pad("o_orderkey"), F.lit("\n"))).otherwise("")
+    body = F.concat(F.lit("tree "), pad("o_custkey"), F.lit("\n"), parent, F.lit("author "), who, F.lit("\ncommitter "), who, F.lit("\n\n"), "o_orderpriority", F.lit("\n"))
+    c = o.select("o_orderkey", codecs.parse_commit(body.cast("binary")).alias("c"))
+    return c.select("o_orderkey", "c.tree", F.size("c.parents").alias("parents"), F.concat("c.author.name", F.lit(" <"), "c.author.email", F.lit(">")).alias("author"), F.col("c.committer.timestamp").alias("ts"), "c.message")
+
+
+@_query(f"""
+WITH r AS ({_LIVE}), s AS (SELECT count(*) FILTER (name LIKE '%1') AS a, count(*) FILTER (name LIKE '%2') AS b FROM r)
+SELECT 'refs/heads/' AS prefix, a + b AS selected FROM s""")
+def import_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = importing.View(_live(spark, sf_dir))
+    both = view.select("*1").union(view.select("*2")).exclude("refs/tags/*")
+    return both.refs.agg(F.count("*").alias("selected")).select(F.lit("refs/heads/").alias("prefix"), "selected")
