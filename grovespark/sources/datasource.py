@@ -6,6 +6,8 @@
     repo_midx   multi-pack indexes                       (midx)
     repo_refs   loose and packed references              (refs)
     repo_tree   a directory's files as a snapshot        (path, mode, oid, content)
+    repo_remote recorded listings of a remote            (remote_refs)
+    repo_sizes  recorded sizes of a remote's objects     (oid, size)
 
 Option path: a repository folder or the folder of the files; any URI that Arrow's file systems open. Filters on
 oid (equality, prefix) and on name (prefix) are pushed down: the first two digits choose folders, and indexes are searched.
@@ -25,7 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from grovespark.errors import InvalidObjectError, VersionDataError
 from grovespark.functions.codecs import object_id
-from grovespark.schema import EXECUTABLE, FILE, MIDX, OBJECTS, PACK_INDEX, PACK_OBJECTS, REFS, SYMLINK
+from grovespark.schema import EXECUTABLE, FILE, MIDX, OBJECTS, PACK_INDEX, PACK_OBJECTS, REFS, REMOTE_REFS, SYMLINK
+from grovespark.plans import protocol
 from grovespark.sources import packfile
 
 
@@ -209,6 +212,32 @@ class TreeReader(_Reader):
         yield from walk(self.path, "")
 
 
+class RemoteReader(_Reader):
+    """Files that hold a server's listing, of either protocol version."""
+
+    column = "name"
+
+    def partitions(self):
+        return _parts([p for p, _ in list_files(self.path)])
+
+    def read(self, partition):
+        for path in partition.paths:
+            data = read_file(path)
+            old = data[4:14] == b"# service=" or b"\0" in data[:2000]
+            for r in protocol.parse_advertisement(data).refs if old else protocol.parse_listing(data):
+                if self.hit(r["name"]):
+                    yield r["name"], r["oid"], r["peeled"], r["symref_target"]
+
+
+class SizesReader(_Reader):
+    def partitions(self):
+        return _parts([p for p, _ in list_files(self.path)])
+
+    def read(self, partition):
+        for path in partition.paths:
+            yield from ((o, n) for o, n in protocol.parse_sizes(read_file(path)).items() if self.hit(o))
+
+
 def _source(name: str, schema, reader) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
@@ -230,6 +259,8 @@ SOURCES = {
     "repo_index": (PACK_INDEX, IndexReader),
     "repo_midx": (MIDX, MidxReader),
     "repo_refs": (REFS, RefsReader),
+    "repo_remote": (REMOTE_REFS, RemoteReader),
+    "repo_sizes": ("oid string, size bigint", SizesReader),
     "repo_tree": ("path string, mode string, oid string, content binary", TreeReader),
 }
 

@@ -169,3 +169,16 @@ def test_protocol():
         assert protocol.parse_report(protocol.write_report("ok", states, banded)) == ("ok", [("refs/heads/n", True, None), ("refs/heads/o", False, "no")])
     with pytest.raises(ProtocolError):
         protocol.parse_report(codecs.pkt_line("what\n"))
+
+
+def test_recorded_listings(spark, tmp_path):
+    datasource.register(spark)
+    refs = [{"name": "HEAD", "oid": "a" * 40, "peeled": None, "symref_target": "refs/heads/main"}, {"name": "refs/tags/v", "oid": "b" * 40, "peeled": "a" * 40, "symref_target": None}]
+    (tmp_path / "new").write_bytes(protocol.write_listing(refs))
+    (tmp_path / "old").write_bytes(protocol.write_advertisement(refs, ["symref=HEAD:refs/heads/main"], "git-upload-pack"))
+    want = sorted((tuple(r[k] for k in ("name", "oid", "peeled", "symref_target")) for r in refs), key=repr)
+    for name in ("new", "old"):
+        got = spark.read.format("repo_remote").load(str(tmp_path / name))
+        assert rows(got) == want and got.where(F.col("name").startswith("refs/tags/")).count() == 1
+    (tmp_path / "sizes").write_bytes(protocol.write_sizes({"a" * 40: 7, "b" * 40: None}))
+    assert rows(spark.read.format("repo_sizes").load(str(tmp_path / "sizes"))) == [("a" * 40, 7), ("b" * 40, None)]
