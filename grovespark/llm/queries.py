@@ -109,12 +109,16 @@ SELECT DISTINCT l.doc_id, cast(l.line AS BIGINT) AS line FROM f JOIN l ON l.doc_
 _OP5 = r"""
 WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?]) ', '\1' || chr(1) || ' ', 'g'), chr(1)) AS parts FROM documents WHERE text <> ''),
 u AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM p),
-o AS (SELECT doc_id, part, coalesce(sum(octet_length(encode(part))) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM u),
-w AS (SELECT doc_id, list_filter(string_split_regex(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS words,
+o AS (SELECT doc_id, part, k, coalesce(sum(octet_length(encode(part))) OVER before, 0) AS place, coalesce(sum(cast(part LIKE '%' || chr(10) AS INTEGER)) OVER before, 0) AS line FROM u
+    WINDOW before AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w AS (SELECT doc_id, k, line, list_filter(string_split_regex(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS words,
     cast(place + octet_length(encode(regexp_extract(part, '^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*'))) AS BIGINT) AS start,
     cast(place + octet_length(encode(regexp_replace(part, '[\t\n\x0b\x0c\r ]+$', ''))) AS BIGINT) AS "end" FROM o),
+b AS (SELECT *, coalesce(len(words) < 8 AND lag(len(words)) OVER d < 8 AND line = lag(line) OVER d, false) AS more FROM w WHERE len(words) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+c AS (SELECT *, sum(cast(NOT more AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
+m AS (SELECT doc_id, flatten(list(words ORDER BY k)) AS words, min(start) AS start, max("end") AS "end" FROM c GROUP BY doc_id, run),
 f AS (SELECT doc_id, start, "end", cast(len(words) AS INTEGER) AS n_words,
-    first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start FROM w WHERE len(words) >= 8 WINDOW g AS (PARTITION BY words ORDER BY doc_id, start))
+    first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start FROM m WHERE len(words) >= 8 WINDOW g AS (PARTITION BY words ORDER BY doc_id, start))
 SELECT * FROM f WHERE doc_id <> first_doc_id OR start <> first_start
 """
 

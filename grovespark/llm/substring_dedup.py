@@ -1,9 +1,10 @@
 """Repeated passages, by hashing lines cut into sentences.
 
 A unit is a line, cut further after ``.``, ``!`` or ``?`` before a space: passages that stand in the midst of a line
-are then found by the sentences inside them. Units are normalised to their words (letters and digits, A-Z in
-lower case) and digested to 128 bits; units of fewer than LEAST_WORDS words are left alone, as such short ones
-recur by chance. Digests are grouped over all documents, the earliest occurrence by (id, place) is kept, and
+are then found by the sentences inside them. Sentences of fewer than LEAST_WORDS words that follow each other in a line
+are one unit. Units are normalised to their words (letters and digits, A-Z in
+lower case) and digested to 128 bits; those still shorter are left alone, as short ones recur
+by chance. Digests are grouped over all documents, the earliest occurrence by (id, place) is kept, and
 the others are reported or removed with their original offsets (in bytes of the text's UTF-8).
 
 A digest's occurrences are reduced to the earliest before they are shuffled, and joined back to it: a unit that a third
@@ -40,20 +41,29 @@ def units(part: Words, least: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
     cut = np.zeros(n + 1, bool)
     cut[part.offsets] = True
     cut[1:] |= data == 10
+    line_cut = cut.copy()
     cut[1:n] |= stop[:-1] & (data[1:] == 32)
     breaks = np.flatnonzero(cut)
     unit = np.searchsorted(breaks, part.starts, "right")
     first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
     count = np.diff(np.append(first, len(unit)))
+    # short units in a row of one line are one unit
+    short = count < least
+    line = np.searchsorted(np.flatnonzero(line_cut), part.starts[first], "right")
+    own = np.concatenate(([True], ~(short[1:] & short[:-1] & (line[1:] == line[:-1]))))
+    last = np.append(np.flatnonzero(own)[1:], len(first)) - 1
+    ends = np.append(breaks, n)[unit[first[last]]]
+    first = first[own]
+    count = np.diff(np.append(first, len(unit)))
     place = (np.arange(len(unit)) - np.repeat(first, count)).astype(np.uint64)
     high, low = (np.add.reduceat(mix(part.hashes + (place + np.uint64(1)) * step), first) for step in _STEP)
     long = count >= least
-    first, count, high, low = first[long], count[long], mix(high[long]), mix(low[long])
+    first, count, high, low, ends = first[long], count[long], mix(high[long]), mix(low[long]), ends[long]
     doc = np.searchsorted(part.first, first, "right") - 1
     # from the first word to the last byte that isn't white space
     solid = ~SPACE[data]
     solid = np.maximum.accumulate(np.where(solid, np.arange(1, n + 1), 0))
-    end = solid[np.append(breaks, n)[unit[first]] - 1]
+    end = solid[ends - 1]
     return doc, high.view(np.int64), low.view(np.int64), part.starts[first] - part.offsets[doc], end - part.offsets[doc], count
 
 

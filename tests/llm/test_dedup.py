@@ -97,18 +97,31 @@ def model_units(table):
 
     first, later = {}, set()
     for i, t in sorted({x for x in table if x[1]}, key=lambda x: (KEY(x[0]), x[1])):
-        for unit in re.split(r"\n|(?<=[.!?])(?= )", t):
-            words = tuple(w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), unit)) if w)
-            if len(words) >= S.LEAST_WORDS:
-                if words in first:
-                    later.add((i, first[words]))
+        for line in t.split("\n"):
+            runs, before = [], False
+            for unit in re.split(r"(?<=[.!?])(?= )", line):
+                words = [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), unit)) if w]
+                if not words:
+                    continue
+                short = len(words) < S.LEAST_WORDS
+                if short and before:
+                    runs[-1] += words
                 else:
-                    first[words] = i
+                    runs.append(words)
+                before = short
+            for words in map(tuple, runs):
+                if len(words) >= S.LEAST_WORDS:
+                    if words in first:
+                        later.add((i, first[words]))
+                    else:
+                        first[words] = i
     return later
 
 
 def test_units_agree_with_plain_splitting(spark):
-    table = passages(8)
+    r = random.Random(5)
+    shouts = " ".join(f"{w}!!" for w in sentence(r, 20).split())
+    table = passages(8) + [(100, f"{text(r)} {shouts}"), (101, f"{shouts}\n{text(r)}"), (102, f"It is. So. {shouts}"), (103, " ".join(sentence(r, n) for n in (3, 4, 2, 9, 3, 8, 1, 1)))]
     got = {(x["doc_id"], x["first_doc_id"]) for x in S.repeated_units(docs(spark, table)).collect()}
     assert got == model_units(table)
 
