@@ -2,8 +2,9 @@
 
 Edges are a table (child, parent, ord): from an object to those it needs. closure() is the one walk that
 all others use. It is a loop over frontiers, one equi-join and one anti-join a level; every level is
-a written table. A graph of up to SMALL edges is walked on the driver instead, where a level costs
-microseconds and not a job; the limit is checked by a count first, and the results are the same.
+a written table. A graph of up to SMALL edges (and roots) is walked on the driver instead, or, for pairs, by every
+task that has some, where a level costs microseconds and not a job; one row more than the limit is asked for to check
+it, and the results are the same.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,10 +50,12 @@ def closure(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None, s
     spark = edges.sparkSession
     roots = roots.select("oid").where("oid is not null").distinct()
     table = _few(edges.select("child", "parent"), small)
-    if table is not None:
+    start = _few(roots, small) if table is not None else None
+    held = _few(stop.select("oid"), small) if start is not None and stop is not None else None
+    if start is not None and (stop is None or held is not None):
         near = _adjacency(table)
-        halt = {r["oid"] for r in stop.select("oid").collect()} if stop is not None else set()
-        seen = {r["oid"] for r in roots.collect()}
+        halt = set(held.column("oid").to_pylist()) if held is not None else set()
+        seen = set(start.column("oid").to_pylist())
         todo = list(seen)
         while todo:
             if (now := todo.pop()) in halt:
@@ -145,26 +149,32 @@ def is_ancestor(edges: DataFrame, pairs: DataFrame, objects: DataFrame | None =
     spark = edges.sparkSession
     there = edges if objects is None else edges.join(objects.select(F.col("oid").alias("child")), "child", "left_semi")
     table = _few(there.select("child", "parent"), small)
-    asked = _few(pairs.select("old", "new").distinct(), 10_000) if table is not None else None
-    if asked is not None:
-        near = _adjacency(table)
-        have = {r["oid"] for r in objects.select("oid").collect()} if objects is not None else None
-        edge = {r["oid"] for r in boundary.select("oid").collect()} if boundary is not None else set()
-        out = []
-        for old, new in zip(asked.column("old").to_pylist(), asked.column("new").to_pylist(), strict=True):
-            seen, todo, found = {new}, [new], old == new
-            while todo and not found:
-                for p in near.get(todo.pop(), ()):
-                    if p == old or (have is not None and p not in have and p in edge):
-                        found = True
-                        break
-                    if p is not None and p not in seen:
-                        seen.add(p)
-                        todo.append(p)
-            out.append((old, new, found))
+    if table is not None:
+        # the graph is small: every task has it and walks its share of the pairs
+        ends = there.select(F.col("parent").alias("oid")).distinct()  # no more than there are edges
+        have = {r["oid"] for r in ends.join(objects.select("oid"), "oid", "left_semi").collect()} if objects is not None else None
+        edge = {r["oid"] for r in ends.join(boundary.select("oid"), "oid", "left_semi").collect()} if boundary is not None else set()
+        shared = spark.sparkContext.broadcast((dict(_adjacency(table)), have, edge))
+
+        def walk(batches):
+            near, there_, pardoned = shared.value
+            for batch in batches:
+                flags = []
+                for old, new in zip(batch.column("old").to_pylist(), batch.column("new").to_pylist(), strict=True):
+                    seen, todo, found = {new}, [new], old == new
+                    while todo and not found:
+                        for p in near.get(todo.pop(), ()):
+                            if p == old or (there_ is not None and p not in there_ and p in pardoned):
+                                found = True
+                                break
+                            if p is not None and p not in seen:
+                                seen.add(p)
+                                todo.append(p)
+                    flags.append(found)
+                yield pa.RecordBatch.from_arrays([batch.column("old"), batch.column("new"), pa.array(flags, pa.bool_())], ["old", "new", "ancestor"])
+
         kind = edges.schema["child"].dataType.simpleString()
-        flags = spark.createDataFrame(out, f"old {kind}, new {kind}, ancestor boolean")
-        return pairs.join(flags, ["old", "new"])
+        return pairs.join(pairs.select("old", "new").distinct().mapInArrow(walk, f"old {kind}, new {kind}, ancestor boolean"), ["old", "new"])
     scratch = Scratch(spark)
     wanted = pairs.select("old", "new").distinct()
     frontier = scratch.keep(wanted.select("old", "new", F.col("new").alias("at")))
