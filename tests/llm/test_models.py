@@ -167,6 +167,62 @@ def test_exchange_never_lowers_the_likelihood():
     assert all(b >= a - 1e-6 for a, b in zip(values, values[1:], strict=False)) and values[-1] > values[0]
 
 
+def test_best_classes_against_every_move(monkeypatch):
+    """Each word's class is the one where the likelihood of a full recount is largest."""
+    monkeypatch.setattr(M, "CELLS", 40)
+    g = np.random.default_rng(3)
+    n, k = 25, 5
+    pairs = g.poisson(1, (n, n)) * (g.random((n, n)) < 0.3)
+    of = np.append(g.integers(0, k - 1, n - 1), k - 1)
+    grid = np.zeros((k, k))
+    np.add.at(grid, (of[:, None], of[None, :]), pairs)
+    entries = []
+    for u in range(n - 1):
+        out, into = np.bincount(of, pairs[u], k), np.bincount(of, pairs[:, u], k)
+        out[of[u]] -= pairs[u, u]
+        into[of[u]] -= pairs[u, u]
+        entries += [(u, key, x) for key, x in enumerate([*out, *into, pairs[u, u]]) if x]
+    got = M.best_classes(of[:-1], *(np.array(x, np.int64) for x in zip(*entries, strict=True)), grid)
+    moved = 0
+    for u in range(n - 1):
+        values = []
+        for c in range(k - 1):
+            trial = of.copy()
+            trial[u] = c
+            table = np.zeros((k, k))
+            np.add.at(table, (trial[:, None], trial[None, :]), pairs)
+            values.append(M.likelihood(table))
+        assert values[got[u]] >= max(values) - 1e-6
+        moved += got[u] != of[u]
+    assert moved > 3
+
+
+def test_words_outside_the_seed_move_by_themselves(spark, monkeypatch):
+    """Rare words of two kinds with one ending come apart, and the likelihood rises."""
+    monkeypatch.setattr(M, "seed_size", lambda types: (4, 2))
+    monkeypatch.setattr(M, "CHUNK", 2000)
+    r = random.Random(10)
+    left, right = [f"l{k}xx" for k in range(60)], [f"r{k}xx" for k in range(60)]
+    table = [(k, " ".join(r.choice([r.choice(["aa", "bb"]), r.choice(left)]) + " " + r.choice([r.choice(["cc", "dd"]), r.choice(right)]) for _ in range(60))) for k in range(60)]
+    coded = M.code(docs(spark, table))
+    words = M.vocabulary(coded, 5)
+    seed = M.learn(coded, words)
+    labels, m = M.refine(coded, words, seed, 5)
+    assert M.likelihood(m.grid) > M.likelihood(seed.grid) and m.grid.sum() == seed.grid.sum()
+    of, names = {}, {}
+    for part in chunks(pa.array([" ".join(left + right + ["aa", "cc"])])):
+        names = {int(h): part.word(i).decode() for i, h in enumerate(part.hashes)}
+    for x in labels.collect():
+        of |= {names[h]: c for h, c in zip(np.frombuffer(x["hashes"], np.uint64).tolist(), M._unpack(x["classes"], np.uint16).tolist(), strict=True) if h in names}
+    assert {of[w] for w in left} == {of["aa"]} != {of["cc"]} == {of[w] for w in right}
+    assert m.types.sum() == m.v - 1 and abs((10**m.follow).sum(1) - 1).max() < 1e-9
+
+
+def test_seed_grows_with_the_vocabulary():
+    sizes = [M.seed_size(v) for v in (0, 10**4, 10**6, 10**8)]
+    assert sizes[0] == (M.TOP, M.CLASSES) and sizes[3] > sizes[2] > sizes[1] and sizes[3][0] < 4000
+
+
 def model_scores(table):
     c = Counter()
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
