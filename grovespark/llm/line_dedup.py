@@ -13,8 +13,11 @@ row share a fingerprint at the same place of them, so none is missed.
    passage costs as much as its occurrences, not their pairs.
 3. The lines of every window but the earliest are deleted.
 
-So a line goes if and only if it is in RUN lines in a row (all lines of a shorter document) that also
-stand earlier, by (id, digest of the text, line).
+Runs are measured in words, too: one or two lines in a row of LONG_WORDS words or more are windows of their own beside those of
+RUN lines, in documents of any length, with the smallest hash in them selected as well.
+
+So a line goes if and only if it is in RUN lines in a row (all lines of a shorter document), or in fewer that hold
+LONG_WORDS words, that also stand earlier, by (id, digest of the text, line). Without `long_words` lines alone count.
 
 Null and empty texts have no lines and are kept as they are. Blank lines stay, but a document of
 which every other line goes is dropped. Rows with the same id and text are one document and get the
@@ -30,6 +33,8 @@ from grovespark.llm.shared import fresh, write_table
 
 #: Lines of the shortest run that counts.
 RUN = 3
+#: Words of a run of fewer lines that counts.
+LONG_WORDS = 50
 _SEED, _WHITE = 0x5DEECE66, " \t\r\x0b\x0c"
 
 
@@ -38,23 +43,33 @@ def _bare(line: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, mark, n_lines, lines): the id, a digest of the text, and (h, g, order, line) of the lines that
-    aren't blank: two hashes, the negative place among them, and the place in the text."""
+    """(doc, mark, n_lines, lines): the id, a digest of the text, and (h, g, order, line, words) of the lines that
+    aren't blank: two hashes, the negative place among them, the place in the text, and the number of words."""
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(_bare(x).alias("x"), i.alias("line"))), lambda s: s["x"] != "")
-    pairs = F.transform(lines, lambda s, i: F.struct(F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(_SEED), s["x"]).alias("g"), (-i).alias("order"), s["line"].alias("line")))
+    pairs = F.transform(lines, lambda s, i: F.struct(F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(_SEED), s["x"]).alias("g"), (-i).alias("order"), s["line"].alias("line"), F.size(F.split(s["x"], r"[ \t\r\x0b\x0c]+")).alias("words")))
     hashed = docs.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.size(F.split(F.col(text_col), "\n")).alias("n_lines"), pairs.alias("lines"))
     return hashed.where(F.size("lines") > 0)
 
 
-def _selected(run: int) -> Column:
-    """(start, position) of each window: where it begins and the position it selects."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("lines") - run))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), (-F.array_min(F.slice("lines", s + 1, run))["order"]).alias("position")))
+def _selected(run: int, long_words: int | None) -> Column:
+    """(start, size, position) of each window: where it begins, its lines, and the position it selects."""
+
+    def windows(starts: Column, size: int) -> Column:
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.size("lines"), F.lit(size)).alias("size"), (-F.array_min(F.slice("lines", s + 1, size))["order"]).alias("position")))
+
+    def long_starts(size: int) -> Column:
+        words = lambda s: F.aggregate(F.slice("lines", s + 1, size), F.lit(0), lambda n, x: n + x["words"])
+        return F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda s: (s + size <= F.size("lines")) & (words(s) >= long_words))
+
+    out = [windows(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("lines") - run)), run)]
+    if long_words is not None:
+        out += [windows(long_starts(size), size) for size in range(1, run)]
+    return F.concat(*out)
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = LONG_WORDS) -> DataFrame:
     """(doc, mark, line): the lines to delete, by their place in the text (from 0)."""
-    hashed = write_table(_hashed(docs, id_col, text_col).dropDuplicates(["doc", "mark"]).withColumn("windows", _selected(run)), "lines")
+    hashed = write_table(_hashed(docs, id_col, text_col).dropDuplicates(["doc", "mark"]).withColumn("windows", _selected(run, long_words)), "lines")
 
     position = F.explode(F.array_distinct(F.transform("windows", lambda w: w["position"]))).alias("position")
     positions = hashed.select("doc", "mark", "lines", position)
@@ -64,7 +79,7 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
     joined = positions.join(shared, ["h", "g"]).select(F.col("doc").alias("d"), F.col("mark").alias("m")).distinct()
 
     both = hashed.join(joined, F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_semi")
-    around = both.select("doc", "mark", "lines", F.explode("windows").alias("w")).select("doc", "mark", F.col("w")["start"].alias("start"), F.slice("lines", F.col("w")["start"] + 1, run).alias("window"))
+    around = both.select("doc", "mark", "lines", F.explode("windows").alias("w")).select("doc", "mark", F.col("w")["start"].alias("start"), F.slice("lines", F.col("w")["start"] + 1, F.col("w")["size"]).alias("window"))
     content = F.transform("window", lambda x: F.struct(x["h"], x["g"]))
     extended = around.select(
         "doc", "mark", "start", F.transform("window", lambda x: x["line"]).alias("span"), F.size("window").alias("size"),
@@ -77,10 +92,10 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
     return later.select("doc", "mark", F.explode("span").alias("line")).distinct()
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = LONG_WORDS) -> DataFrame:
     """docs with later repeated runs of lines deleted, and `lines_deleted`; all other columns are as before.
     A document of which nothing but blank lines is left is dropped."""
-    gone = repeated_lines(docs, run, id_col, text_col)
+    gone = repeated_lines(docs, run, id_col, text_col, long_words)
     # a byte for each line up to the last that goes: 1 goes. Its place is found at once, however long the text
     ends = gone.groupBy("doc", "mark").agg(F.max("line").alias("last"))
     flags = ends.select("doc", "mark", F.explode(F.sequence(F.lit(0), "last")).alias("line"), F.lit("0").alias("flag")).unionByName(gone.withColumn("flag", F.lit("1")))

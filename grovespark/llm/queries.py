@@ -30,8 +30,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that go, by their place in the text."""
-    return line_dedup.repeated_lines(read_documents(spark, sf_dir)).select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"))
+    """The lines that go, by their place in the text; runs measured in lines alone, as in the SQL form."""
+    return line_dedup.repeated_lines(read_documents(spark, sf_dir), long_words=None).select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

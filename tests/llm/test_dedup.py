@@ -70,6 +70,40 @@ def test_lines_odd_cases(spark):
     assert not any(x in plans for x in ("Python", "Arrow", "Pandas")), "DataFrame operations alone"
 
 
+def model_long_lines(table, run=L.RUN, least=L.LONG_WORDS):
+    """model_lines() and shorter runs of so many words, in documents of any length."""
+    gone, seen = model_lines(table, run), {}
+    for i, t in sorted({x for x in table if x[1]}, key=lambda x: (KEY(x[0]), x[1])):
+        lines = [(k, x.strip()) for k, x in enumerate(t.split("\n")) if x.strip()]
+        for size in range(1, run):
+            for s in range(len(lines) - size + 1):
+                w = lines[s : s + size]
+                key = tuple(x for _, x in w)
+                if size == len(lines) or sum(len(x.split()) for x in key) >= least:
+                    # a whole short document counts at any length, against others like it
+                    kind = sum(len(x.split()) for x in key) >= least or "whole"
+                    gone |= {(i, t, k) for k, _ in w} if (kind, key) in seen else set()
+                    seen[kind, key] = True
+    return gone
+
+
+def test_long_lines(spark):
+    """A pasted line of 60 words, two of 30, and one of 49, in documents of one, two and more lines."""
+    r = random.Random(14)
+    one, two, short = sentence(r, 60), f"{sentence(r, 30)}\n  {sentence(r, 25)}", sentence(r, 49)
+    own = [text(r, 3) for _ in range(12)]
+    table = [(k, f"{own[k]}\n{x}\n{own[k + 1]}") for k, x in ((0, one), (2, two), (4, short), (6, one), (8, two), (10, short))]
+    table += [(20, one), (21, two), (22, short), (23, f"{short}\nown line"), (24, f"{two}\n{one}"), (25, f"{one}\n{one}"), (None, f"{own[11]}\n{one}")] + [(300 + i, t) for i, t in passages(15)[:20]]
+    df = docs(spark, table)
+    of = {(x["doc_id"], x["m"]): x["text"] for x in df.select("doc_id", "text", F.xxhash64("text").alias("m")).collect()}
+    got = {(x["doc"], of[x["doc"], x["mark"]], x["line"]) for x in L.repeated_lines(df).collect()}
+    assert got == model_long_lines(table)
+    assert len(got - model_lines(table)) > 4, "runs of lines alone miss them"
+    assert {(x["doc"], of[x["doc"], x["mark"]], x["line"]) for x in L.repeated_lines(df, long_words=None).collect()} == model_lines(table)
+    kept = {x["doc_id"] for x in L.dedup_lines(df).collect()}
+    assert not {20, 21, 24, 25} & kept and {22, 23} <= kept
+
+
 def test_units(spark):
     r = random.Random(4)
     passage = " ".join(sentence(r, n) for n in (9, 14, 3, 20, 12))
