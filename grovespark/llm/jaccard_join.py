@@ -20,7 +20,9 @@ for each document with its set's size and its component, so copies are never exp
 
 A document without words has an empty set (0), is its own component and links with nothing, as has a
 null or empty text. A row with a null id gets its set's size and a null component. Rows with the same id
-get a row each, with the component of their own text. An empty table gives nothing.
+get a row each, with the component of their own text: classes have numbers of their own, and ids name them only at the
+end. Ties don't arise: a component is named by its smallest id. Columns other than the id and text are not looked at.
+An empty table gives nothing.
 """
 
 from __future__ import annotations
@@ -77,15 +79,15 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, hi, lo of every row: the size and digest of its set."""
+    """doc_id, mark, n, hi, lo of every row (doc_id, text, mark): the size and digest of its set."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), *_digest(s)) for _, s in _sets(batch)]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "mark", "n", "hi", "lo"])
 
-    return docs.mapInArrow(sizes, "doc_id long, n long, hi long, lo long")
+    return docs.mapInArrow(sizes, "doc_id long, mark long, n long, hi long, lo long")
 
 
 def _packed(bucket, tokens, nodes) -> tuple:
@@ -211,12 +213,12 @@ def _shared_hashes(packed: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, classes: DataFrame, hashes: int) -> DataFrame:
-    """The classes (hi, lo, n, node) that may have a link."""
+    """The classes (hi, lo, n, node, doc) that may have a link."""
     bits = max(6, min(24, (hashes // 500_000).bit_length()))
     shared = _shared_hashes(_send(docs, bits)).groupBy("node").agg(F.sum("shared").alias("shared"))
     partner = F.expr("(80 * n + 99) div 100")
     enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(partner / 10))
-    return classes.join(shared.withColumnRenamed("node", "lo"), "lo").where(enough).select("hi", "lo", "n", "node")
+    return classes.join(shared.withColumnRenamed("node", "lo"), "lo").where(enough).select("hi", "lo", "n", "node", "doc")
 
 
 def _sieve(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -250,7 +252,7 @@ def candidate_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "hi", "lo", "tokens"])
 
     some = docs.where(F.col("doc_id").isNotNull()).mapInArrow(select, "doc_id long, hi long, lo long, tokens binary")
-    kept = some.join(found, ["hi", "lo"]).where(F.col("doc_id") == F.col("node")).select("node", "n", "tokens")
+    kept = some.join(found, ["hi", "lo"]).where(F.col("doc_id") == F.col("doc")).select("node", "n", "tokens")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 32, 0
@@ -359,7 +361,9 @@ def families(sets: DataFrame) -> DataFrame:
     ordered = both.repartition(shuffle_partitions(sets.sparkSession), "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("node"))
     rows = write_table(ordered.mapInArrow(rarest, "token long, node long"), "rarest")
     hubs = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("token", "a")
-    return components(rows.join(hubs, "token").select("a", F.col("node").alias("b")).distinct())
+    out = components(rows.join(hubs, "token").select("a", F.col("node").alias("b")).distinct())
+    drop_table(rows)
+    return out
 
 
 class Tree:
@@ -498,6 +502,7 @@ def links(sets: DataFrame) -> DataFrame:
     found = write_table(_joined(rows.select(name("block").alias("group"), "node", "n", "tokens", F.col("node").alias("comp"), F.lit(0).alias("side"))), "found")
     large = blocks.where("blocks > 1")
     if large.isEmpty():
+        drop_table(blocks)
         return found
     for step in ("midst", "pairs"):
         now = components(found)
@@ -513,29 +518,45 @@ def links(sets: DataFrame) -> DataFrame:
             both = state.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
             pair = [F.least("block", "other"), F.greatest("block", "other")]
             group = both.join(sets, "node").select(name(*pair).alias("group"), "node", "n", "tokens", "comp", F.col("block").alias("side"))
-        found = write_table(found.unionByName(_joined(group)), "found")
+        more = write_table(found.unionByName(_joined(group)), "found")
+        drop_table(found)
+        found = more
+    drop_table(blocks)
     return found
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (a digest of the text), n_shingles, first (the least (doc_id, mark) of the component; null without words or id)."""
     plain = texts(docs, id_col, text_col)
-    sizes = write_table(set_sizes(plain), "sizes")
+    sizes = write_table(set_sizes(plain.withColumn("mark", F.xxhash64("text"))), "sizes")
     named = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = write_table(named.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node")), "classes")
+    # numbers are given once, as the table is written: ids may repeat with other texts
+    classes = named.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("*", F.col("first")["doc_id"].alias("doc"), F.monotonically_increasing_id().alias("node"))
+    classes = write_table(classes, "classes")
     hashes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // 4
     found = write_table(candidates(plain, classes, hashes), "candidates")
     sets = candidate_sets(plain, found)
-    ties = components(links(sets))
-    drop_table(sets)
-    of = classes.join(ties, "node", "left").select("hi", "lo", "n", F.coalesce("component", "node").alias("component"))
+    tied = links(sets)
+    ties = components(tied)
+    for table in (sets, found, tied):
+        drop_table(table)
+    linked = classes.select("node", "first").join(ties, "node")
+    names = linked.groupBy("component").agg(F.min("first").alias("name"))
+    of = classes.join(linked.select("node", "component").join(names, "component").select("node", "name"), "node", "left").select("hi", "lo", "n", F.coalesce("name", "first").alias("first"))
     out = sizes.join(of, ["hi", "lo", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    return _components(docs, id_col, text_col).select("doc_id", "n_shingles", F.coalesce(F.col("first")["doc_id"], "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component; rows without words or
-    without an id stay."""
-    doc, own = fresh(docs, "doc", "id")
-    first = jaccard_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(doc)).distinct()
-    return docs.withColumn(own, F.col("doc_id").cast("long")).join(first, F.col(own).eqNullSafe(F.col(doc)), "left_semi").drop(own)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component, by (id, digest of the text); rows
+    without words or without an id stay, and so do all rows of the same id and text as the first."""
+    doc, own, of_text, own_mark = fresh(docs, "doc", "id", "mark", "text")
+    rows = _components(docs, id_col, text_col).where(F.col("first").isNull() | ((F.col("doc_id") == F.col("first")["doc_id"]) & (F.col("mark") == F.col("first")["mark"])))
+    first = rows.select(F.col("doc_id").alias(doc), F.col("mark").alias(of_text)).distinct()
+    marked = docs.withColumns({own: F.col(id_col).cast("long"), own_mark: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return marked.join(first, F.col(own).eqNullSafe(F.col(doc)) & (F.col(own_mark) == F.col(of_text)), "left_semi").drop(own, own_mark)
