@@ -5,23 +5,26 @@ hashes. Every RUN lines in a row are a window; of each window the smallest hash
 selected. Selected positions are the document's fingerprints: two documents that share RUN lines in a
 row share a fingerprint at the same place of them, so none is missed.
 
-1. Positions are joined by fingerprint: those whose fingerprint stands nowhere else go no further.
-2. Matches are extended both ways: the windows around a joined position that selected it reach
-   over all lines before and after it that can belong to a match of RUN lines; they are
-   compared by digest, and overlapping windows chain to the whole repeated run. The m windows of a
-   fingerprint with equal digests make m - 1 matches, each with the earliest one, so a common line or
-   passage costs as much as its occurrences, not their pairs.
+1. Positions are joined by fingerprint: those whose fingerprint stands nowhere else go no further. What is kept is
+   (document, position), not the document.
+2. A joined position is extended both ways by the windows around it that selected it: each reaches over the lines before and
+   after it that a match of so many lines can hold, and windows are compared by digest within their fingerprint. Windows
+   that overlap chain to the whole repeated run. Any other window of the document is never looked at. The m
+   windows with equal digests make m - 1 matches, each with the earliest one, so a common line or passage costs as much as
+   its occurrences, not their pairs.
 3. The lines of every window but the earliest are deleted.
 
 Runs are measured in words, too: one or two lines in a row of LONG_WORDS words or more are windows of their own beside those of
 RUN lines, in documents of any length, with the smallest hash in them selected as well.
 
-So a line goes if and only if it is in RUN lines in a row (all lines of a shorter document), or in fewer that hold
-LONG_WORDS words, that also stand earlier, by (id, digest of the text, line). Without `long_words` lines alone count.
+So a line goes if and only if, by (id, digest of the text, line), there stand earlier too: RUN lines in a row that it is in; or fewer in
+a row that hold LONG_WORDS words; or all lines of its document of fewer than RUN lines, as all lines of another one or as
+lines of LONG_WORDS words anywhere. Without `long_words` lines alone count.
 
 Null and empty texts have no lines and are kept as they are. Blank lines stay, but a document of
 which every other line goes is dropped. Rows with the same id and text are one document and get the
-same decision. Null ids come first. Only the id and text are looked at; other columns are carried.
+same decision; ties of a fingerprint or window are ordered by that. Null ids come first. An empty table gives an empty one. Only the
+id and text are looked at; other columns are carried, but for one named lines_deleted, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovespark.llm.shared import fresh, write_table
+from grovespark.llm.shared import drop_table, fresh, write_table
 
 #: Lines of the shortest run that counts.
 RUN = 3
@@ -69,24 +72,20 @@ def _selected(run: int, long_words: int | None) -> Column:
 
 def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = LONG_WORDS) -> DataFrame:
     """(doc, mark, line): the lines to delete, by their place in the text (from 0)."""
-    hashed = write_table(_hashed(docs, id_col, text_col).dropDuplicates(["doc", "mark"]).withColumn("windows", _selected(run, long_words)), "lines")
-
-    position = F.explode(F.array_distinct(F.transform("windows", lambda w: w["position"]))).alias("position")
-    positions = hashed.select("doc", "mark", "lines", position)
-    positions = positions.select("doc", "mark", "position", F.col("lines")[F.col("position")]["h"].alias("h"), F.col("lines")[F.col("position")]["g"].alias("g"))
-    place = F.struct("doc", "mark", "position")
-    shared = positions.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("h", "g")
-    joined = positions.join(shared, ["h", "g"]).select(F.col("doc").alias("d"), F.col("mark").alias("m")).distinct()
-
-    both = hashed.join(joined, F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_semi")
-    around = both.select("doc", "mark", "lines", F.explode("windows").alias("w")).select("doc", "mark", F.col("w")["start"].alias("start"), F.slice("lines", F.col("w")["start"] + 1, F.col("w")["size"]).alias("window"))
+    hashed = _hashed(docs, id_col, text_col).dropDuplicates(["doc", "mark"]).withColumn("w", F.explode(_selected(run, long_words)))
+    hashed = hashed.select("doc", "mark", "w", F.slice("lines", F.col("w")["start"] + 1, F.col("w")["size"]).alias("window"), F.col("lines")[F.col("w")["position"]].alias("least"))
     content = F.transform("window", lambda x: F.struct(x["h"], x["g"]))
-    extended = around.select(
-        "doc", "mark", "start", F.transform("window", lambda x: x["line"]).alias("span"), F.size("window").alias("size"),
-        F.xxhash64(content).alias("low"), F.xxhash64(F.lit(_SEED), content).alias("high"),
+    windows = hashed.select(
+        "doc", "mark", F.col("w")["start"].alias("start"), F.col("w")["size"].alias("size"), F.col("w")["position"].alias("position"), F.col("least")["h"].alias("h"), F.col("least")["g"].alias("g"),
+        F.transform("window", lambda x: x["line"]).alias("span"), F.xxhash64(content).alias("low"), F.xxhash64(F.lit(_SEED), content).alias("high"),
     )
-    extended = write_table(extended, "matches")
-    key, where = ["low", "high", "size"], F.struct("doc", "mark", "start")
+    windows = write_table(windows, "windows")
+
+    place = F.struct("doc", "mark", "position")
+    shared = windows.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("h", "g")
+    extended = write_table(windows.join(shared, ["h", "g"]).drop("position"), "matches")
+    drop_table(windows)
+    key, where = ["h", "g", "low", "high", "size"], F.struct("doc", "mark", "start")
     first = extended.groupBy(*key).agg(F.min(where).alias("first"), F.max(where).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     later = extended.join(first, key).where(~where.eqNullSafe(F.col("first")))
     return later.select("doc", "mark", F.explode("span").alias("line")).distinct()

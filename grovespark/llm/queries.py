@@ -30,8 +30,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that go, by their place in the text; runs measured in lines alone, as in the SQL form."""
-    return line_dedup.repeated_lines(read_documents(spark, sf_dir), long_words=None).select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"))
+    """The lines that go, by their place in the text."""
+    return line_dedup.repeated_lines(read_documents(spark, sf_dir)).select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_units(read_documents(spark, sf_dir))
+    return substring_dedup.repeated_units(read_documents(spark, sf_dir)).drop("mark")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ FROM e GROUP BY conv_id
 """
 
 
-#: op3: runs of three lines that aren't blank (or a shorter document) that stand earlier too.
+#: op3: runs of three lines that aren't blank (or a shorter document), and of one or two with 50 words, that stand earlier too.
 _OP3 = r"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line
@@ -96,30 +96,35 @@ l AS (
   SELECT doc_id, line, trim(x, E' \t\r\x0b\x0c') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS i,
     count(*) OVER (PARTITION BY doc_id) AS n
   FROM raw WHERE trim(x, E' \t\r\x0b\x0c') <> ''),
+m AS (SELECT *, len(string_split_regex(x, '[ \t\r\x0b\x0c]+')) AS words FROM l),
 w AS (
-  SELECT doc_id, i, least(n, 3) AS size, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS content, n
-  FROM l),
-f AS (
-  SELECT doc_id, i, size, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS k FROM w WHERE i = 0 OR i + 3 <= n)
+  SELECT doc_id, i, n, 1 AS size, [x] AS content, words FROM m UNION ALL
+  SELECT doc_id, i, n, 2, list(x) OVER d, sum(words) OVER d FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) UNION ALL
+  SELECT doc_id, i, n, least(n, 3), list(x) OVER d, NULL FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+k AS (SELECT DISTINCT doc_id, i, size, content FROM w WHERE i + size <= n AND (words IS NULL OR words >= 50)),
+f AS (SELECT doc_id, i, size, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS k FROM k)
 SELECT DISTINCT l.doc_id, cast(l.line AS BIGINT) AS line FROM f JOIN l ON l.doc_id = f.doc_id AND l.i BETWEEN f.i AND f.i + f.size - 1 WHERE k > 1
 """
 
 
-#: op5: units are lines cut after . ! ? before a space; their words tell them apart.
+#: op5: pieces end at lines, sentences and the longest word around; a unit is the pieces from each on that have 32 words.
 _OP5 = r"""
-WITH p AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?]) ', '\1' || chr(1) || ' ', 'g'), chr(1)) AS parts FROM documents WHERE text <> ''),
-u AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM p),
-o AS (SELECT doc_id, part, k, coalesce(sum(octet_length(encode(part))) OVER before, 0) AS place, coalesce(sum(cast(part LIKE '%' || chr(10) AS INTEGER)) OVER before, 0) AS line FROM u
-    WINDOW before AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-w AS (SELECT doc_id, k, line, list_filter(string_split_regex(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS words,
-    cast(place + octet_length(encode(regexp_extract(part, '^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*'))) AS BIGINT) AS start,
-    cast(place + octet_length(encode(regexp_replace(part, '[\t\n\x0b\x0c\r ]+$', ''))) AS BIGINT) AS "end" FROM o),
-b AS (SELECT *, coalesce(len(words) < 8 AND lag(len(words)) OVER d < 8 AND line = lag(line) OVER d, false) AS more FROM w WHERE len(words) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
-c AS (SELECT *, sum(cast(NOT more AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
-m AS (SELECT doc_id, flatten(list(words ORDER BY k)) AS words, min(start) AS start, max("end") AS "end" FROM c GROUP BY doc_id, run),
-f AS (SELECT doc_id, start, "end", cast(len(words) AS INTEGER) AS n_words,
-    first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start FROM m WHERE len(words) >= 8 WINDOW g AS (PARTITION BY words ORDER BY doc_id, start))
-SELECT * FROM f WHERE doc_id <> first_doc_id OR start <> first_start
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS tokens FROM documents),
+e AS (SELECT doc_id, unnest(tokens) AS x, unnest(range(len(tokens))) AS k FROM t),
+o AS (SELECT *, octet_length(encode(x)) AS bytes, regexp_matches(x, '^[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]') AS is_word, lag(x) OVER d AS before, lead(x) OVER d AS after,
+    coalesce(sum(octet_length(encode(x))) OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+w AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, start, bytes,
+    start + bytes + coalesce(octet_length(encode(regexp_extract(after, '^[^\t\n\x0b\x0c\r ]*'))), 0) AS "end", coalesce(regexp_matches(before, '\n|[.!?] '), false) AS cut FROM o WHERE is_word),
+l AS (SELECT *, bytes > coalesce(max(bytes) OVER (d ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) AND bytes >= coalesce(max(bytes) OVER (d ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING), 0) AS longest
+    FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, i, cut OR i = 0 OR coalesce(lag(longest) OVER (PARTITION BY doc_id ORDER BY i), false) AS new FROM l),
+g AS (SELECT doc_id, list(word ORDER BY i) AS words, list(start ORDER BY i) AS starts, list("end" ORDER BY i) AS ends FROM w GROUP BY doc_id),
+p AS (SELECT b.doc_id, i, coalesce(lead(i) OVER (PARTITION BY b.doc_id ORDER BY i), len(words)) AS stop FROM b JOIN g ON g.doc_id = b.doc_id WHERE new),
+u AS (SELECT a.doc_id, a.i, z.stop FROM p a ASOF JOIN p z ON a.doc_id = z.doc_id AND a.i + 32 <= z.stop),
+c AS (SELECT u.doc_id, array_to_string(words[i + 1:stop], ' ') AS content, cast(stop - i AS INTEGER) AS n_words, cast(starts[i + 1] AS BIGINT) AS start, cast(ends[stop] AS BIGINT) AS "end" FROM u JOIN g ON g.doc_id = u.doc_id),
+f AS (SELECT doc_id, start, "end", n_words, first_value(doc_id) OVER s AS first_doc_id, first_value(start) OVER s AS first_start, first_value("end") OVER s AS first_end
+    FROM c WINDOW s AS (PARTITION BY content ORDER BY doc_id, start))
+SELECT doc_id, start, "end", n_words, first_doc_id, first_start FROM f WHERE NOT (doc_id = first_doc_id AND start < first_end)
 """
 
 #: op6: all pairs that share a shingle, then the smallest id that links reach.

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -70,6 +71,16 @@ def test_lines_odd_cases(spark):
     assert not any(x in plans for x in ("Python", "Arrow", "Pandas")), "DataFrame operations alone"
 
 
+def test_only_selected_windows_are_compared(spark, monkeypatch):
+    """Fingerprints decide: with a selection that no two documents share, nothing is found."""
+    table = passages()
+    assert L.repeated_lines(docs(spark, table)).count() > 0
+    whole = L._hashed
+    other = lambda *args: whole(*args).withColumn("lines", F.transform("lines", lambda x: x.withField("order", x["order"]).withField("h", F.xxhash64(x["h"], "doc"))))
+    monkeypatch.setattr(L, "_hashed", other)
+    assert {r["doc"] for r in L.repeated_lines(docs(spark, table)).collect()} <= {i for i, t in table if any(t.count(x) > 1 for x in t.split("\n"))}
+
+
 def model_long_lines(table, run=L.RUN, least=L.LONG_WORDS):
     """model_lines() and shorter runs of so many words, in documents of any length."""
     gone, seen = model_lines(table, run), {}
@@ -104,60 +115,79 @@ def test_long_lines(spark):
     assert not {20, 21, 24, 25} & kept and {22, 23} <= kept
 
 
+def model_units(table, least=S.LEAST_WORDS, near=S.NEAR):
+    """{(id, text): [(start, end, words, first id, first start)]} by plain splitting; offsets in bytes."""
+    found = []
+    for i, t in sorted({x for x in table if x[1]}, key=lambda x: (KEY(x[0]), MARK(x[1]))):
+        raw = t.encode()
+        words = list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw))
+        size = [len(w[0]) for w in words]
+        longest = [all(size[k] > n for n in size[max(0, k - near) : k]) and all(size[k] >= n for n in size[k + 1 : k + 1 + near]) for k in range(len(words))]
+        starts = [k for k, w in enumerate(words) if k == 0 or longest[k - 1] or re.search(rb"\n|[.!?] ", raw[words[k - 1].end() : w.start()])]
+        for p, k in enumerate(starts):
+            stop = next((x for x in [*starts[p + 1 :], len(words)] if x - k >= least), None)
+            if stop:
+                end = words[stop - 1].end() + len(re.match(rb"[^\t\n\x0b\x0c\r ]*", raw[words[stop - 1].end() : words[stop].start() if stop < len(words) else len(raw)])[0])
+                found.append((tuple(w[0].lower() for w in words[k:stop]), i, t, words[k].start(), end))
+    first, later = {}, defaultdict(list)
+    for words, i, t, a, b in found:
+        x = first.setdefault(words, (i, t, a, b))
+        if x != (i, t, a, b) and not (x[:2] == (i, t) and a < x[3]):
+            later[i, t].append((a, b, len(words), x[0], x[2]))
+    return later
+
+
+def check_units(spark, table):
+    global MARK
+    df = docs(spark, table)
+    marks = {r["text"]: r["m"] for r in df.select("text", F.xxhash64("text").alias("m")).collect()}
+    MARK = marks.get
+    want = model_units(table)
+    got = defaultdict(list)
+    texts = {m: t for t, m in marks.items()}
+    for r in S.repeated_units(df).collect():
+        got[r["doc_id"], texts[r["mark"]]].append((r["start"], r["end"], r["n_words"], r["first_doc_id"], r["first_start"]))
+    assert {k: sorted(set(v)) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}, "repeated rows give each span again"
+    left = []
+    for i, t in table:
+        raw, at, out = (t or "").encode(), 0, b""
+        for a, b, *_ in sorted(want.get((i, t), [])):
+            out += raw[at : max(at, a)]
+            at = max(at, b)
+        left.append((i, None if t is None else (out + raw[at:]).decode()))
+    out = S.dedup_units(df)
+    assert out.columns == [*df.columns, "kept"]
+    assert rows(out, "doc_id", "text") == sorted(left, key=repr), "every text"
+    return want
+
+
 def test_units(spark):
     r = random.Random(4)
     passage = " ".join(sentence(r, n) for n in (9, 14, 3, 20, 12))
     own = [text(r) for _ in range(6)]
     table = [(0, f"{own[0]} kabo milu {passage}"), (1, own[1]), (2, f"tra lo {passage} Or so.\n{own[2]}"), (3, own[3]), (4, f"{own[4]}\n{passage.upper()}"), (5, None), (6, "")]
-    got = S.repeated_units(docs(spark, table)).collect()
-    assert {x["doc_id"] for x in got} == {2, 4} and {x["first_doc_id"] for x in got} == {0}
-    raw = dict(table)
-    for x in got:
-        cut = raw[x["doc_id"]].encode()[x["start"] : x["end"]].decode()
-        assert cut.lower() in passage.lower() and len(cut.split()) == x["n_words"] >= S.LEAST_WORDS
-    out = {x["doc_id"]: x for x in S.dedup_units(docs(spark, table)).collect()}
-    for i, t in table:
-        if i in (2, 4):
-            assert "".join(t.encode()[k["start"] : k["end"]].decode() for k in out[i]["kept"]) == out[i]["text"] != t
-        else:
-            assert out[i]["text"] == t
+    assert {i for i, _ in check_units(spark, table)} == {2, 4}
     assert S.dedup_units(docs(spark)).count() == len(odd_rows()) and S.dedup_units(docs(spark, [])).count() == 0
-    assert S.dedup_units(docs(spark, table)).columns == [*docs(spark, []).columns, "kept"]
-
 
-def model_units(table):
-    """Later (id, digest of words) by plain splitting."""
-    import re
 
-    first, later = {}, set()
-    for i, t in sorted({x for x in table if x[1]}, key=lambda x: (KEY(x[0]), x[1])):
-        for line in t.split("\n"):
-            runs, before = [], False
-            for unit in re.split(r"(?<=[.!?])(?= )", line):
-                words = [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), unit)) if w]
-                if not words:
-                    continue
-                short = len(words) < S.LEAST_WORDS
-                if short and before:
-                    runs[-1] += words
-                else:
-                    runs.append(words)
-                before = short
-            for words in map(tuple, runs):
-                if len(words) >= S.LEAST_WORDS:
-                    if words in first:
-                        later.add((i, first[words]))
-                    else:
-                        first[words] = i
-    return later
+def test_units_of_every_layout(spark):
+    """Passages in short lines, of short sentences, without punctuation, and junk that repeats within itself."""
+    r = random.Random(5)
+    shouts = " ".join(f"{w}!!" for w in sentence(r, 60).split())
+    verse = "\n".join(sentence(r, 4) for _ in range(16))
+    run = " ".join(sentence(r, 8).strip(".").lower() for _ in range(9))
+    table = passages(8) + [(100, f"{text(r)} {shouts}"), (101, f"{shouts}\n{text(r)}"), (102, f"It is. So. {shouts}"), (103, "ba ke li. " * 80)]
+    table += [(110, f"{text(r)}\n{verse}"), (111, f"one {verse} two"), (112, f"kabo milu {run} tra"), (113, f"{text(r)} so {run}\n{text(r)}")]
+    got = {i for i, _ in check_units(spark, table)}
+    assert {101, 102, 103, 111, 113} <= got
 
 
-def test_units_agree_with_plain_splitting(spark):
-    r = random.Random(5)
-    shouts = " ".join(f"{w}!!" for w in sentence(r, 20).split())
-    table = passages(8) + [(100, f"{text(r)} {shouts}"), (101, f"{shouts}\n{text(r)}"), (102, f"It is. So. {shouts}"), (103, " ".join(sentence(r, n) for n in (3, 4, 2, 9, 3, 8, 1, 1)))]
-    got = {(x["doc_id"], x["first_doc_id"]) for x in S.repeated_units(docs(spark, table)).collect()}
-    assert got == model_units(table)
+def test_units_of_repeated_ids(spark):
+    """The same id, or none, with different texts, in letters of several bytes: nothing is cut out of another text."""
+    r = random.Random(9)
+    passage, other = ((" ".join(sentence(r, 12).replace("a", mark) for _ in range(5))) for mark in ("ä", "語"))
+    table = [(1, f"ßß {passage}"), (1, f"{text(r)}\n{passage} é"), (1, "é" * 200), (None, f"日本 {other}"), (None, f"{other} é"), (None, "ü" * 300), (None, None), (2, f"x {other}"), (2, f"x {other}"), (2, f"{passage}\n{other}")]
+    assert {i for i, _ in check_units(spark, table)} == {None, 1, 2}
 
 
 def shingles(t):
@@ -228,6 +258,17 @@ def test_jaccard_odd_cases(spark):
     assert J.keep_first(docs(spark, table)).columns == docs(spark, []).columns
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """Rows of one id with different texts are documents each: no link is lost between them, and one of a group stays."""
+    w, v = ([sentence(random.Random(k), 60).strip(".") for k in (1, 2)])
+    near = lambda t, k: t.rsplit(" ", 1)[0] + f" edit{k}"
+    table = [(1, w), (1, v), (5, near(w, 5)), (6, near(v, 6)), (None, w), (7, near(v, 7)), (0, near(w, 0)), (8, "lone words here"), (8, near(v, 8)), (8, near(v, 9)), (9, text(random.Random(3)))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in J.jaccard_components(docs(spark, table)).collect() if r["doc_id"] is not None)
+    assert got == sorted([(0, 0), (1, 0), (5, 0), (1, 1), (6, 1), (7, 1), (8, 1), (8, 1), (8, 8), (9, 9)])
+    kept = sorted((r["doc_id"], r["text"]) for r in J.keep_first(docs(spark, table)).collect() if r["doc_id"] is not None)
+    assert kept == sorted([(0, near(w, 0)), (1, v), (8, "lone words here"), (9, table[-1][1])])
+
+
 def test_tree_links_agree_with_all_pairs():
     r = random.Random(6)
     for trial in range(60):
