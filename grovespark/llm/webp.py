@@ -3,15 +3,19 @@
 The decoder reads RIFF containers and the VP8L bit stream: simple and normal prefix codes (canonical,
 with run-length coded lengths), meta prefix codes, LZ77 back-references with the two-dimensional
 distance map, the colour cache, and the inverses of the predictor, cross-colour, subtract-green and
-palette transforms. It writes arrays (height, width, 4) of red, green, blue, alpha. An image
-whose four codes all have 256 codes of 8 bits, as bytes_to_webp() writes, is decoded by numpy at
-once; every other one pixel by pixel.
+palette transforms. It writes arrays (height, width, 4) of red, green, blue, alpha. Every image takes the same path:
+one loop over the symbols of its prefix codes, then the inverses of its transforms over whole arrays (the predictor's
+pixel by pixel).
+
+The encoder stores bytes as a grey image, a sample a pixel: subtract-green leaves the green channel alone; back-references go
+to the last place with the same LEAST samples; prefix codes are fitted to the image's symbols.
 
 ValueError says what is wrong with damaged data; nothing is guessed.
 """
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +38,9 @@ _DISTANCES = [
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 ]
 # fmt: on
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 LARGEST_SIDE = 1 << 14
+#: Of a prefix code; of those that the encoder makes.
+LONGEST, LONGEST_MADE = 15, 12
 
 
 class Bits:
@@ -56,39 +61,47 @@ class Bits:
         return value
 
 
+def reversed_codes(lengths: np.ndarray) -> np.ndarray:
+    """The bits of each symbol (in the order of the stream) of a canonical code, for symbols sorted by (length, symbol)."""
+    size = np.int64(1) << (LONGEST - lengths)
+    return _REVERSED[np.cumsum(size) - size]
+
+
+def _mirror() -> np.ndarray:
+    x, out = np.arange(1 << LONGEST), np.zeros(1 << LONGEST, np.int64)
+    for k in range(LONGEST):
+        out |= (x >> k & 1) << (LONGEST - 1 - k)
+    return out
+
+
+_REVERSED = _mirror()
+
+
 class Code:
-    """A canonical prefix code from the lengths of its symbols."""
+    """A canonical prefix code from the lengths of its symbols. table[next bits & mask] is symbol << 4 | length."""
 
     def __init__(self, lengths: tuple[int, ...]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.only = used[0][1] if len(used) == 1 else None
-        self.uniform = len(used) == 256 and {n for n, _ in used} == {8} and used[-1][1] == 255
-        if not used:
-            self.only = 0
-        if self.only is not None:
+        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        self.only = used[0][1] if len(used) == 1 else None if used else 0
+        self.width = self.mask = 0
+        if self.only is not None:  # takes no bits
+            self.table = [self.only << 4]
             return
-        # over the full width of 15 bits
-        if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+        # over the full width
+        if sum(1 << (LONGEST - n) for n, _ in used) != 1 << LONGEST:
             raise ValueError("a prefix code isn't complete")
-        self.width = max(n for n, _ in used)
-        self.table: list[tuple[int, int]] = [(0, 0)] * (1 << self.width)
-        code = last = 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            step = int(f"{code:0{n}b}"[::-1], 2)
-            for i in range(step, 1 << self.width, 1 << n):
-                self.table[i] = (n, s)
-            code += 1
+        self.width = used[-1][0]
+        size = 1 << self.width
+        self.mask, self.table = size - 1, [0] * size
+        for (n, s), code in zip(used, reversed_codes(np.array([n for n, _ in used])).tolist(), strict=True):
+            self.table[code :: 1 << n] = [s << 4 | n] * (size >> n)
 
     def next(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        n, symbol = self.table[bits.peek(self.width)]
-        bits.at += n
+        entry = self.table[bits.peek(self.width)]
+        bits.at += entry & 15
         if bits.at > bits.end:
             raise ValueError("the image ends early")
-        return symbol
+        return entry >> 4
 
 
 #: Images of one writer share their codes.
@@ -134,17 +147,8 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     return _code(tuple(lengths))
 
 
-def _extra(bits: Bits, symbol: int) -> int:
-    """A length or distance from its prefix symbol."""
-    if symbol < 4:
-        return symbol + 1
-    n = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
-
-
-def _distance(code: int, width: int) -> int:
-    if code > 120:
-        return code - 120
+def _near(code: int, width: int) -> int:
+    """The distance of one of the 120 codes of pixels close by."""
     dx, dy = _DISTANCES[code - 1]
     return max(1, dx + dy * width)
 
@@ -162,57 +166,89 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = max(meta) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
-    total = width * height
-    if groups == 1 and not cache_bits and all(c.uniform for c in codes[0][:4]):
-        return _uniform(bits, total)
-    out, at = [0] * total, 0
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    shift = 32 - cache_bits
-    kept = 0  # pixels that are in the cache
-
-    def cached(low: int, high: int) -> None:
-        for pixel in out[low:high]:
-            cache[(pixel * _HASH & 0xFFFFFFFF) >> shift] = pixel
-
-    green, red, blue, alpha, distance = codes[0]
+    return _pixels(bits, codes, meta, tile, width, width * height, cache_bits)
+
+
+def _pixels(bits: Bits, codes: list[list[Code]], meta: list[int] | None, tile: int, width: int, total: int, cache_bits: int) -> np.ndarray:
+    """All symbols of an image. meta: the group of codes of each tile."""
+    across = (width + (1 << tile) - 1) >> tile
+    # tables and masks of each group; literals whose other channels take no bits are whole pixels at once
+    groups = []
+    for green, red, blue, alpha, distance in codes:
+        flat = None
+        if red.only is not None and blue.only is not None and alpha.only is not None:
+            flat = [alpha.only << 24 | red.only << 16 | g << 8 | blue.only for g in range(256)]
+        groups.append((green.table, green.mask, flat, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask, distance.table, distance.mask))
+    green, g_mask, flat, red, r_mask, blue, b_mask, alpha, a_mask, distance, d_mask = groups[0]
+    cache, shift, kept = [0] * (1 << cache_bits), 32 - cache_bits, 0
+    out, at, number = array("I"), 0, int.from_bytes
+    put, extend = out.append, out.extend
+    data, size = bits.data, len(bits.data)
+    place = (bits.at >> 3) + 24
+    window, have = number(data[place - 24 : place], "little") >> (bits.at & 7), 192 - (bits.at & 7)
     while at < total:
+        if have < 64:  # the longest symbol with what follows it takes 60 bits
+            if place >= size + 24:
+                raise ValueError("the image ends early")
+            window |= number(data[place : place + 24], "little") << have
+            place += 24
+            have += 192
         if meta is not None:
-            green, red, blue, alpha, distance = codes[meta[(at // width >> tile) * across + (at % width >> tile)]]
-        symbol = green.next(bits)
+            green, g_mask, flat, red, r_mask, blue, b_mask, alpha, a_mask, distance, d_mask = groups[meta[(at // width >> tile) * across + (at % width >> tile)]]
+        entry = green[window & g_mask]
+        window >>= entry & 15
+        have -= entry & 15
+        symbol = entry >> 4
         if symbol < 256:
-            r, b, a = red.next(bits), blue.next(bits), alpha.next(bits)
-            out[at] = a << 24 | r << 16 | symbol << 8 | b
+            if flat is not None:
+                put(flat[symbol])
+            else:
+                r = red[window & r_mask]
+                window >>= r & 15
+                b = blue[window & b_mask]
+                window >>= b & 15
+                a = alpha[window & a_mask]
+                window >>= a & 15
+                have -= (r & 15) + (b & 15) + (a & 15)
+                put(a >> 4 << 24 | r >> 4 << 16 | symbol << 8 | b >> 4)
             at += 1
         elif symbol < 280:
-            n = _extra(bits, symbol - 256)
-            back = _distance(_extra(bits, distance.next(bits)), width)
+            n = symbol - 255
+            if n > 4:
+                more = (symbol - 258) >> 1
+                n = ((2 + (symbol & 1)) << more) + (window & ((1 << more) - 1)) + 1
+                window >>= more
+                have -= more
+            entry = distance[window & d_mask]
+            window >>= entry & 15
+            have -= entry & 15
+            symbol = entry >> 4
+            back = symbol + 1
+            if symbol > 3:
+                more = (symbol - 2) >> 1
+                back = ((2 + (symbol & 1)) << more) + (window & ((1 << more) - 1)) + 1
+                window >>= more
+                have -= more
+            back = back - 120 if back > 120 else _near(back, width)
             if back > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(n):
-                out[at] = out[at - back]
-                at += 1
+            if back >= n:
+                extend(out[at - back : at - back + n])
+            else:
+                extend((out[at - back :] * (n // back + 1))[:n])
+            at += n
         else:
-            cached(kept, at)
+            if symbol - 280 >= len(cache):
+                raise ValueError("a symbol is outside the colour cache")
+            for pixel in out[kept:]:
+                cache[(pixel * _HASH & 0xFFFFFFFF) >> shift] = pixel
             kept = at
-            out[at] = cache[symbol - 280]
+            put(cache[symbol - 280])
             at += 1
-        if cache_bits and at - kept > 64:
-            cached(kept, at)
-            kept = at
-    return np.array(out, np.uint32)
-
-
-def _uniform(bits: Bits, total: int) -> np.ndarray:
-    """Pixels whose four channels take 8 bits each: no table walk is needed."""
-    if bits.at + 32 * total > bits.end:
+    bits.at = 8 * place - have
+    if bits.at > bits.end:
         raise ValueError("the image ends early")
-    low, skip = divmod(bits.at, 8)
-    raw = np.frombuffer(bits.data, np.uint8, 4 * total + bool(skip), low)
-    if skip:
-        raw = (raw[:-1] >> skip) | (raw[1:] << (8 - skip))
-    bits.at += 32 * total
-    g, r, b, a = _REVERSED[raw].reshape(-1, 4).astype(np.uint32).T
-    return a << 24 | r << 16 | g << 8 | b
+    return np.frombuffer(out, np.uint32)
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -302,8 +338,11 @@ def cross_colour(argb: np.ndarray, width: int, height: int, tile: int, factors:
 
 
 def subtract_green(argb: np.ndarray, sign: int) -> np.ndarray:
-    c = _channels(argb)
-    return _joined(np.stack([c[:, 0], c[:, 1] + sign * c[:, 2], c[:, 2], c[:, 3] + sign * c[:, 2]], axis=1))
+    """Take green away from red and blue (sign -1: encode), or add it (1: decode)."""
+    green = argb >> np.uint32(8) & np.uint32(255)
+    both = argb & np.uint32(0x00FF00FF)
+    both = both + (green << np.uint32(16) | green) if sign > 0 else (both | np.uint32(0x01000100)) - (green << np.uint32(16) | green)
+    return argb & np.uint32(0xFF00FF00) | both & np.uint32(0x00FF00FF)
 
 
 def palette_bits(colours: int) -> int:
@@ -362,7 +401,7 @@ def decode(data: bytes) -> np.ndarray:
         else:
             argb = _inverse_palette(argb, inner, wide, height, tile, extra)
             inner = wide
-    return np.ascontiguousarray(_channels(argb)[:, [1, 2, 3, 0]].astype(np.uint8).reshape(height, width, 4))
+    return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
 
 
 class BitWriter:
@@ -383,56 +422,188 @@ def _riff(stream: bytes) -> bytes:
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
-def _header(out: BitWriter, width: int, height: int) -> None:
+def _header(out: BitWriter, width: int, height: int, alpha: bool = True) -> None:
     out.put(_SIGNATURE, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
-    out.put(1, 1)
+    out.put(int(alpha), 1)
     out.put(0, 3)
 
 
-def _uniform_prefix() -> tuple[int, int]:
-    """The bits between the size and the pixels of an image without transforms or cache whose channels
-    take 8 bits each; (value, count), a whole number of bytes."""
-    out = BitWriter()
-    out.put(0, 3)  # no transform, no cache, one group
-    for channel in range(4):
-        out.put(0, 1)
-        lengths = 14 if channel == 0 else 12  # two more than needed: pixels then begin at a byte
-        out.put(lengths - 4, 4)
-        for k in _LENGTH_CODE_ORDER[:lengths]:
-            out.put(int(k == 8), 3)
-        if channel:
-            out.put(0, 1)
-        else:  # 256 lengths of 280
-            out.put(1, 1)
-            out.put(3, 3)
-            out.put(254, 8)
-    out.put(0b0001, 4)  # one distance symbol
-    return out.value, out.n
-
-
-_PREFIX = _uniform_prefix()
+#: The code that the encoder writes lengths of codes with: its own lengths, by symbol 0 to 18.
+_META = [4, 7, 6, 6, 5, 4, 3, 3, 3, 4, 5, 5, 6, 6, 7, 7, 7, 3, 3]
+#: Samples that a back-reference has at least and at most; its largest distance.
+LEAST, MOST, FARTHEST = 6, 4096, (1 << 20) - 120
+
+
+def _coded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols used, their bits) of a canonical code with these lengths (0: not used)."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    return used, reversed_codes(lengths[used])
+
+
+def _meta_bits() -> list[int]:
+    out = np.zeros(len(_META), np.int64)
+    used, bits = _coded(np.array(_META))
+    out[used] = bits
+    return out.tolist()
+
+
+_META_BITS = _meta_bits()
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths, LONGEST_MADE at most, of a complete code for symbols with these counts (two of them or more aren't 0)."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    weight = counts[used].astype(np.float64)
+    weight = np.maximum(weight, weight.sum() / (1 << (LONGEST_MADE - 1)))
+    lengths = np.maximum(1, np.ceil(np.log2(weight.sum() / weight))).astype(np.int64)
+    left = (1 << LONGEST_MADE) - int((np.int64(1) << (LONGEST_MADE - lengths)).sum())
+    by, lengths = np.argsort(-weight, kind="stable").tolist(), lengths.tolist()
+    while left:  # shorten frequent symbols as long as there is room: it always ends in a complete code
+        for k in by:
+            cost = 1 << (LONGEST_MADE - lengths[k])
+            if cost <= left and lengths[k] > 1:
+                lengths[k] -= 1
+                left -= cost
+    out[used] = lengths
+    return out
+
+
+def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a code for symbols with these counts; (bits, lengths) by symbol."""
+    bits, lengths = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2 and (not len(used) or used[0] < 256):  # it takes no bits
+        symbol = int(used[0]) if len(used) else 0
+        out.put(1, 2)
+        out.put(int(symbol > 1), 1)
+        out.put(symbol, 8 if symbol > 1 else 1)
+        return bits, lengths
+    lengths = code_lengths(counts)
+    order, codes = _coded(lengths)
+    bits[order] = codes
+    out.put(0, 1)
+    out.put(15, 4)
+    for k in _LENGTH_CODE_ORDER:
+        out.put(_META[k], 3)
+    out.put(0, 1)
+    at = 0
+    for symbol, n in zip([*used.tolist(), len(counts)], [*lengths[used].tolist(), None], strict=True):
+        gap = symbol - at
+        while gap:
+            run = min(gap, 138)
+            kind = 18 if run > 10 else 17 if run > 2 else 0
+            run = run if kind else 1
+            out.put(_META_BITS[kind], _META[kind])
+            if kind:
+                out.put(run - (11 if kind == 18 else 3), 7 if kind == 18 else 3)
+            gap -= run
+        if n is not None:
+            out.put(_META_BITS[n], _META[n])
+        at = symbol + 1
+    return bits, lengths
+
+
+def _matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of back-references, from left to right: to the last place with the same LEAST samples,
+    for as long as that distance holds."""
+    n = len(samples) - LEAST + 1
+    if n < 2:
+        return (np.zeros(0, np.int64),) * 3
+    key = samples[:n].astype(np.uint64)
+    for k in range(1, LEAST):
+        key |= samples[k : n + k].astype(np.uint64) << np.uint64(8 * k)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    distance = np.zeros(n, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    distance[distance > FARTHEST] = 0
+    first = np.concatenate(([0], np.flatnonzero(distance[1:] != distance[:-1]) + 1))
+    stop, back = np.append(first[1:], n), distance[first]
+    there = back > 0
+    at, out = 0, []
+    for a, b, d in zip(first[there].tolist(), stop[there].tolist(), back[there].tolist(), strict=True):
+        if a < at:
+            if b <= at:
+                continue
+            a = at
+        at = b + LEAST - 1
+        while at - a > MOST:
+            out.append((a, MOST, d))
+            a += MOST
+        if at - a >= LEAST:
+            out.append((a, at - a, d))
+        else:
+            at = a
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, how many) of lengths or distances."""
+    below = values - 1
+    high = np.maximum(np.frexp(below)[1].astype(np.int64) - 1, 1)
+    large = values > 4
+    more = np.where(large, high - 1, 0)
+    return np.where(large, 2 * high + (below >> more & 1), below), np.where(large, below & ((1 << more) - 1), 0), more
 
 
 def bytes_to_webp(payload: bytes) -> bytes:
-    """An image whose samples, in the order green, red, blue, alpha, are the payload; its length is a
-    positive multiple of 64. Rows are 16 pixels up to 1 MiB and wider beyond; the last row may end in
-    zeros then. ValueError beyond 1 GiB."""
-    pixels = len(payload) // 4
-    width = 16
-    while -(-pixels // width) > LARGEST_SIDE:
+    """A grey image whose samples are the payload, in rows of 64 up to 1 MiB and of more beyond; zeros fill the last row.
+    Its length is positive. ValueError beyond 256 MiB, which is the largest image."""
+    width = 64
+    while width * LARGEST_SIDE < len(payload):
         width *= 2
     if width > LARGEST_SIDE:
-        raise ValueError("an image holds 1 GiB at most")
-    height = -(-pixels // width)
+        raise ValueError("an image holds 256 MiB at most")
+    height = -(-len(payload) // width)
+    samples = np.frombuffer(payload + bytes(width * height - len(payload)), np.uint8)
+    start, length, back = _matches(samples)
+    covered = np.zeros(len(samples) + 1, np.int8)
+    covered[start] += 1
+    covered[start + length] -= 1
+    literal = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 0)
+    values = samples[literal].astype(np.int64)
+    (n_symbol, n_extra, n_more), (d_symbol, d_extra, d_more) = _prefixed(length), _prefixed(back + 120)
+
     out = BitWriter()
-    _header(out, width, height)
-    out.put(*_PREFIX)
-    body = _REVERSED[np.frombuffer(payload, np.uint8)].tobytes()
-    return _riff(out.bytes() + body + bytes(4 * (width * height - pixels)))
+    _header(out, width, height, alpha=False)
+    out.put(0b0101, 4)  # subtract-green, and no other transform
+    out.put(0, 2)  # no cache, one group
+    green, green_n = _put_code(out, np.bincount(values, minlength=280) + np.bincount(n_symbol + 256, minlength=280))
+    out.put(0b0001, 4)  # red and blue are 0 after subtract-green
+    out.put(0b0001, 4)
+    out.put(0b101, 3)  # alpha is 255
+    out.put(255, 8)
+    distance, distance_n = _put_code(out, np.bincount(d_symbol, minlength=40))
+
+    # all symbols in a row: (bits, how many)
+    at = np.searchsorted(literal, start) + np.arange(len(start))
+    bits, count = np.zeros(len(literal) + len(start), np.uint64), np.zeros(len(literal) + len(start), np.int64)
+    plain = np.ones(len(bits), bool)
+    plain[at] = False
+    bits[plain], count[plain] = green[values].astype(np.uint64), green_n[values]
+    one = green_n[n_symbol + 256]
+    two = one + n_more
+    three = two + distance_n[d_symbol]
+    bits[at] = (green[n_symbol + 256] | n_extra << one | distance[d_symbol] << two | d_extra << three).astype(np.uint64)
+    count[at] = three + d_more
+    ends = out.n + np.cumsum(count)
+    place = ends - count
+    total = int(ends[-1])
+    words = np.zeros(total // 64 + 2, np.uint64)
+    word, skip = place >> 6, (place & 63).astype(np.uint64)
+    np.bitwise_or.at(words, word, bits << skip)
+    np.bitwise_or.at(words, word + 1, np.where(skip > 0, bits >> (np.uint64(64) - np.maximum(skip, np.uint64(1))), np.uint64(0)))
+    head = out.bytes()
+    body = words.astype("<u8").view(np.uint8)
+    body[: len(head)] |= np.frombuffer(head, np.uint8)
+    return _riff(body[: (total + 7) // 8].tobytes())
 
 
 def webp_to_bytes(data: bytes, n: int) -> bytes:
-    """The first n samples of decode(data), in the order of bytes_to_webp()."""
-    return decode(data)[..., [1, 0, 2, 3]].tobytes()[:n]
+    """The first n samples of an image of bytes_to_webp()."""
+    return decode(data)[..., 1].tobytes()[:n]
