@@ -10,8 +10,9 @@ A turn is written between marks of its role::
     <s>[USER] text [/USER]      <s>[ASSISTANT] text [/ASSISTANT]      <s>[ROLE name] text [/ROLE]
 
 Inside texts (and names of other roles) the backslash, ``[`` and ``<`` that marks begin with are
-escaped by a backslash, so no text can hold a mark and the original comes back exactly. The loss
-covers assistants' texts, as (start, end) in the formatted text.
+escaped by a backslash, so no text can hold a mark and the original comes back exactly. Roles of turns are kept as they are;
+only layouts whose Mapping names speakers (human, gpt) give them the roles it says. The loss
+covers texts of the role assistant, as (start, end) in the formatted text.
 
 All of it is DataFrame expressions by turn but for hashing the turns of a conversation in a row, for which a
 task streams over sorted turns and keeps one turn. Null texts are empty; a null role is the empty role; turns with
@@ -24,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 
 from grovespark.llm.shared import shuffle_partitions, write_table
 
-#: Names that layouts have for roles.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Names that layouts of speakers have for roles, in lower case.
+SPEAKERS = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
@@ -42,7 +43,8 @@ TURNS = "conv_id bigint, turn bigint, role string, text string"
 class Mapping:
     """rows: one turn a row (conv, turn, role, text name columns). nested: an array of turns in
     column `turns` (role and text name its fields). fields: [(role, columns)] make a turn each of the
-    columns' texts that aren't empty, joined by a blank line; a turn without text is left out."""
+    columns' texts that aren't empty, joined by a blank line; a turn without text is left out.
+    roles: (name, role) of names that the layout has for roles; every other name is kept as it is. paths: its fields."""
 
     name: str
     kind: str
@@ -52,6 +54,8 @@ class Mapping:
     text: str = "text"
     turns: str = "messages"
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
+    paths: tuple[str, ...] = ()
 
 
 def field_paths(schema: T.DataType, path: str = "") -> list[str]:
@@ -72,7 +76,7 @@ def json_paths(value, path: str = "") -> set[str]:
     if isinstance(value, list):
         return set().union(*[json_paths(v, f"{path}[]") for v in value])
     if value is None:
-        return set()
+        return {f"{path}:null"}
     kind = "boolean" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "text"
     return {f"{path}:{kind}"}
 
@@ -85,21 +89,35 @@ def _known() -> dict[str, Mapping]:
     layouts = [
         (["conv_id:number", "turn:number", "role:text", "text:text"], Mapping("turn rows", "rows")),
         (["conv_id:number", "messages[].role:text", "messages[].content:text"], Mapping("messages", "nested", text="content")),
-        (["conv_id:number", "conversations[].from:text", "conversations[].value:text"], Mapping("from and value", "nested", turns="conversations", role="from", text="value")),
+        (["conv_id:number", "conversations[].from:text", "conversations[].value:text"], Mapping("from and value", "nested", turns="conversations", role="from", text="value", roles=SPEAKERS)),
         (["conv_id:number", "instruction:text", "input:text", "output:text"], Mapping("instruction", "fields", fields=(("user", ("instruction", "input")), ("assistant", ("output",))))),
         (["conv_id:number", "instruction:text", "output:text"], Mapping("instruction alone", "fields", fields=(("user", ("instruction",)), ("assistant", ("output",))))),
         (["conv_id:number", "system:text", "prompt:text", "response:text"], Mapping("prompt with system", "fields", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))))),
         (["conv_id:number", "prompt:text", "completion:text"], Mapping("prompt", "fields", fields=(("user", ("prompt",)), ("assistant", ("completion",))))),
         (["conv_id:number", "question:text", "answer:text"], Mapping("question", "fields", fields=(("user", ("question",)), ("assistant", ("answer",))))),
     ]
-    return {fingerprint(paths): mapping for paths, mapping in layouts}
+    return {fingerprint(paths): replace(mapping, paths=tuple(paths)) for paths, mapping in layouts}
 
 
 MAPPINGS = _known()
 
 
-def _role(role: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+def select_mapping(paths: set[str], known: dict[str, Mapping]) -> Mapping | None:
+    """The mapping of a record's fingerprint; a field that is null has the kind that the layout gives it."""
+    null = {p.removesuffix(":null") for p in paths if p.endswith(":null")}
+    if not null:
+        return known.get(fingerprint(paths))
+    there = {p for p in paths if not p.endswith(":null")}
+    for mapping in known.values():
+        if fingerprint(there | {p for p in mapping.paths if p.rpartition(":")[0] in null}) in known and {p.rpartition(":")[0] for p in mapping.paths} == {p.rpartition(":")[0] for p in paths}:
+            return mapping if there <= set(mapping.paths) else None
+    return None
+
+
+def _role(role: Column, mapping: Mapping) -> Column:
+    if not mapping.roles:
+        return role
+    named = F.create_map(*[F.lit(x) for pair in mapping.roles for x in pair])
     return F.coalesce(named[F.lower(role)], role)
 
 
@@ -113,37 +131,55 @@ def canonical(df: DataFrame, columns: list[str] | None = None, mappings: dict[st
         raise ValueError(f"no mapping for the layout {sorted(paths)}")
     conv = F.col(mapping.conv).cast("long").alias("conv_id")
     if mapping.kind == "rows":
-        return df.select(conv, F.col(mapping.turn).cast("long").alias("turn"), _role(F.col(mapping.role)).alias("role"), F.col(mapping.text).alias("text"))
+        return df.select(conv, F.col(mapping.turn).cast("long").alias("turn"), _role(F.col(mapping.role), mapping).alias("role"), F.col(mapping.text).alias("text"))
     if mapping.kind == "nested":
         each = df.select(conv, F.posexplode(mapping.turns).alias("turn", "__turn"))
-        return each.select("conv_id", F.col("turn").cast("long"), _role(F.col("__turn")[mapping.role]).alias("role"), F.col("__turn")[mapping.text].alias("text"))
+        return each.select("conv_id", F.col("turn").cast("long"), _role(F.col("__turn")[mapping.role], mapping).alias("role"), F.col("__turn")[mapping.text].alias("text"))
     made = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*names), lambda t: F.length(t) > 0), "\n\n").alias("text")) for role, names in mapping.fields]
     each = df.select(conv, F.posexplode(F.filter(F.array(*made), lambda t: F.length(t["text"]) > 0)).alias("turn", "__turn"))
-    return each.select("conv_id", F.col("turn").cast("long"), _role(F.col("__turn")["role"]).alias("role"), F.col("__turn")["text"].alias("text"))
+    return each.select("conv_id", F.col("turn").cast("long"), F.col("__turn")["role"].alias("role"), F.col("__turn")["text"].alias("text"))
 
 
 def canonical_json(records: DataFrame, column: str = "record", mappings: dict[str, Mapping] | None = None) -> DataFrame:
-    """Turns of JSON records of mixed layouts, with `error` (null, or why a record has no turns; its
-    turn, role and text are null then)."""
+    """Turns of JSON records of mixed layouts, with `error` (null, or why a record has no turns: no JSON, unknown layout,
+    an id or turn that is no whole number of 64 bits, a turn that is no record, a text that isn't Unicode; its turn, role and
+    text are null then). A null text or role stays null; a null conv_id too."""
     known = mappings or MAPPINGS
 
+    def whole(x) -> bool:
+        return isinstance(x, int) and not isinstance(x, bool) and -(1 << 63) <= x < 1 << 63
+
     def turns(text: str | None):
         try:
             value = json.loads(text or "")
-            mapping = known.get(fingerprint(json_paths(value)))
             conv = value.get("conv_id") if isinstance(value, dict) else None
-            if mapping is None:
-                return [(conv, None, None, None, "unknown layout")]
-            if mapping.kind == "rows":
-                found = [(value[mapping.turn], value[mapping.role], value[mapping.text])]
-            elif mapping.kind == "nested":
-                found = [(k, t.get(mapping.role), t.get(mapping.text)) for k, t in enumerate(value[mapping.turns])]
-            else:
-                made = [(role, "\n\n".join(x for x in (value.get(n) for n in names) if x)) for role, names in mapping.fields]
-                found = [(k, *x) for k, x in enumerate(x for x in made if x[1])]
-            return [(conv, k, ROLES.get(str(role).lower(), role), text, None) for k, role, text in found]
-        except ValueError:
+            own = conv if whole(conv) else None
+            mapping = select_mapping(json_paths(value), known)
+        except (ValueError, RecursionError):
             return [(None, None, None, None, "no JSON")]
+        if mapping is None:
+            return [(own, None, None, None, "unknown layout")]
+        if conv is not None and own is None:
+            return [(None, None, None, None, "conv_id is no whole number")]
+        if mapping.kind == "rows":
+            if not whole(value[mapping.turn]):
+                return [(own, None, None, None, "turn is no whole number")]
+            found = [(value[mapping.turn], value[mapping.role], value[mapping.text])]
+        elif mapping.kind == "nested":
+            if not all(isinstance(t, dict) for t in value[mapping.turns]):
+                return [(own, None, None, None, "a turn is no record")]
+            found = [(k, t.get(mapping.role), t.get(mapping.text)) for k, t in enumerate(value[mapping.turns])]
+        else:
+            made = [(role, "\n\n".join(x for x in (value.get(n) for n in names) if x)) for role, names in mapping.fields]
+            found = [(k, *x) for k, x in enumerate(x for x in made if x[1])]
+        names = dict(mapping.roles)
+        out = [(own, k, None if role is None else names.get(role.lower(), role), text, None) for k, role, text in found]
+        try:
+            for _, _, role, text, _ in out:
+                f"{role}{text}".encode()
+        except UnicodeEncodeError:
+            return [(own, None, None, None, "a text isn't Unicode")]
+        return out
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]

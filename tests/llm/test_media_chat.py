@@ -174,6 +174,37 @@ def test_layouts(spark):
     assert sorted(g[4] for g in got if g[4]) == ["no JSON", "no JSON", "unknown layout"]
 
 
+def test_roles_are_kept(spark):
+    """Names that other layouts have for roles are roles like any other in rows of turns; only assistants are learned from."""
+    turns = [(1, 0, "human", "q"), (1, 1, "GPT", "a"), (1, 2, "assistant", "b"), (1, 3, "Assistant", "c"), (1, 4, "model", "d")]
+    got = {r["conv_id"]: r for r in C.digests(spark.createDataFrame(turns, C.TURNS)).collect()}[1]
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
+    assert (got["loss_chars"], got["loss_sha256"]) == (1, hashlib.sha256(b"b").hexdigest())
+
+
+def test_odd_records(spark):
+    """What can't be read is a row that says so; nothing fails the job."""
+    records = [
+        ('{"conv_id": "x", "prompt": "p", "completion": "c"}', (None, "unknown layout")),
+        ('{"conv_id": "x", "what": 1}', (None, "unknown layout")),
+        ('{"conv_id": 1.5, "prompt": "p", "completion": "c"}', (None, "conv_id is no whole number")),
+        ('{"conv_id": 99999999999999999999, "prompt": "p", "completion": "c"}', (None, "conv_id is no whole number")),
+        ('{"conv_id": 2, "messages": [{"role": "user", "content": "q"}, null]}', (2, "unknown layout")),
+        ('{"conv_id": 3, "messages": [{"role": "user", "content": "\\ud800"}]}', (3, "a text isn't Unicode")),
+        ('{"conv_id": 4, "turn": 1.5, "role": "user", "text": "q"}', (4, "turn is no whole number")),
+        ('{"conv_id": 5, "messages": []}', (5, "unknown layout")),
+        ("[" * 100000, (None, "no JSON")),
+        ("[1]", (None, "unknown layout")),
+    ]
+    df = spark.createDataFrame([(r,) for r, _ in records], "record string")
+    got = C.canonical_json(df).collect()
+    assert rows(spark.createDataFrame(got, f"{C.TURNS}, error string"), "conv_id", "error") == sorted([w for _, w in records], key=repr)
+    assert all(r["turn"] is None and r["role"] is None and r["text"] is None for r in got)
+    good = ['{"conv_id": 6, "prompt": "p", "completion": null}', '{"conv_id": null, "turn": 0, "role": null, "text": "q"}', '{"conv_id": 7, "messages": [{"role": "human", "content": null}]}']
+    got = rows(C.canonical_json(spark.createDataFrame([(r,) for r in good], "record string")))
+    assert got == sorted([(6, 0, "user", "p", None), (None, 0, None, "q", None), (7, 0, "human", None, None)], key=repr)
+
+
 def test_random_texts_survive(spark):
     r = random.Random(3)
     turns = [(k, 0, r.choice(["user", "x[y]\\"]), "".join(r.choice("\\[]</s> \n[USER]ab") for _ in range(30))) for k in range(300)]
