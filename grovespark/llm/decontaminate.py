@@ -1,7 +1,8 @@
 """Benchmark decontamination: windows of documents close in edit distance to a benchmark item.
 
-Texts are words (letters and digits, A-Z in lower case). A document leaks an item of n words if some
-run of its words is within floor(RATE * n) word edits of the item.
+Texts are words (letters and digits, A-Z in lower case; Chinese and Japanese letters are words each). A document leaks an item
+of n words if some run of its words is within floor(RATE * n) word edits of the item; one of up to four words if it
+holds them as they are.
 
 1. Seeds. By counting, such a run shares a q-gram with the item (q is the largest of 3, 2, 1 for which
    n - q + 1 - q * floor(RATE * n) >= 1), and as many as that number says, so windows of the item's size
@@ -14,8 +15,9 @@ run of its words is within floor(RATE * n) word edits of the item.
 4. Candidates are verified by exact edit distance (the best run of words around the window).
 
 The items of a block of about BLOCK_CHARS characters are sent to the executors; more blocks take more
-passes, so what is broadcast is bounded. Null or empty texts and items leak nothing; an item of
-under LEAST_WORDS words isn't looked for; repeated rows give a row each.
+passes, so what is broadcast is bounded. Null or empty texts, and items without words, leak nothing; repeated rows of
+documents or items give a row each, with null ids too; an empty table on either side gives nothing. Columns other than the ids and
+texts are not looked at; keep_uncontaminated() carries those of docs.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from grovespark.llm.shared import texts
 from grovespark.llm.text import NO_LETTER, Words, chunks, mix, rolling
 
-#: Word edits for each word of an item; walks, draws from each, steps in a draw; shortest item.
-RATE, WALKS, TABLES, BITS, LEAST_WORDS = 0.2, 4, 8, 2, 5
+#: Word edits for each word of an item; walks, draws from each, steps in a draw.
+RATE, WALKS, TABLES, BITS = 0.2, 4, 8, 2
 BLOCK_CHARS = 4_000_000
 LEAKS = "doc_id long, item_id long, edits int, item_words int, start long, end long"
 
@@ -98,9 +100,9 @@ class Items:
         self.rate, self.seed = rate, seed
         self.ids, self.words = [], []
         part = pa.array([t or "" for _, t in rows], pa.large_string())
-        for w in chunks(part, NO_LETTER):
+        for w in chunks(part, NO_LETTER, letters=True):
             for i in range(len(w)):
-                if len(w.of(i)) >= LEAST_WORDS:
+                if len(w.of(i)):
                     self.ids.append(rows[w.low + i][0])
                     self.words.append(w.of(i).copy())
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -203,7 +205,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 ids = batch.column("doc_id")
                 rows = []
-                for part in chunks(batch.column("text"), NO_LETTER):
+                for part in chunks(batch.column("text"), NO_LETTER, letters=True):
                     origin = None
                     for doc, item, edits, a, b in items.leaks(part):
                         origin = part.offsets[doc]
@@ -225,7 +227,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in chunks(batch.column("text"), NO_LETTER):
+                for part in chunks(batch.column("text"), NO_LETTER, letters=True):
                     kept = np.ones(len(part), bool)
                     kept[[x[0] for x in shared.value.leaks(part)]] = False
                     yield batch.slice(part.low, len(part)).filter(pa.array(kept))

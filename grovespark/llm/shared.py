@@ -2,7 +2,7 @@
 
 Intermediate results are Parquet tables in the folder that the cluster names in
 ``spark.checkpoint.dir``: executors can be lost without losing them, and they cut lineage.
-Only where that setting is absent (tests, a laptop) a local folder is made.
+Only where that setting is absent and the master is local (tests, a laptop) a local folder is made.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI or path; also set as the checkpoint folder."""
+    """The shared folder as a URI or path; also set as the checkpoint folder. RuntimeError on a cluster that names none:
+    executors don't share the driver's disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='grovespark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -63,13 +63,17 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """Words of some documents. hashes, starts and ends (byte positions in data) by word;
-    first[i]:first[i + 1] are the words of document low + i."""
+    first[i]:first[i + 1] are the words of document low + i. letters: Chinese and Japanese letters are words each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int, space: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int, space: np.ndarray = SPACE, letters: bool = False):
         self.low, self.data, self.offsets, n = low, data, offsets, len(data)
         word = ~space[data]
         breaks = np.zeros(n + 1, bool)
         breaks[offsets] = True
+        if letters:  # U+3000 to U+9FFF take three bytes, U+20000 on take four
+            for lead, size in ((np.flatnonzero((data >= 0xE3) & (data <= 0xE9)), 3), (np.flatnonzero((data[:-1] == 0xF0) & (data[1:] >= 0xA0)), 4)):
+                breaks[lead] = True
+                breaks[np.minimum(lead + size, n)] = True
         before = np.concatenate(([False], word[:-1])) if n else word
         after = np.concatenate((word[1:], [False])) if n else word
         self.starts = np.flatnonzero(word & (breaks[:n] | ~before))
@@ -95,13 +99,13 @@ class Words:
         return self.data[self.starts[k] : self.ends[k]].tobytes().lower()
 
 
-def chunks(column: pa.Array, space: np.ndarray = SPACE) -> Iterator[Words]:
+def chunks(column: pa.Array, space: np.ndarray = SPACE, letters: bool = False) -> Iterator[Words]:
     """The documents of a column in runs of about CHUNK_BYTES; every text is whole."""
     data, offsets = string_parts(column)
     low = 0
     while low < len(column):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1)
-        yield Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], low, space)
+        yield Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], low, space, letters)
         low = high
 
 

@@ -5,12 +5,14 @@ Features are the words (letters and digits, A-Z in lower case) that occur in a d
 first 4, 5 and 6 bytes, which stand for a stem. Weights
 are fitted by accelerated proximal gradient with an L1 penalty, so that only few words count and
 a long document doesn't gather noise. Fitting takes a bounded sample of labelled rows (SAMPLE,
-by a hash of the id); scoring takes every word of every document and needs one pass without a
-shuffle. The model that is sent along is bounded by FEATURES words.
+by a hash of the id) and weighs FEATURES features of it at most, those in LEAST_DOCS of its documents or more with the strongest
+association with the grades: these bound the model, and grow with no table. Scoring takes every word of every document and
+needs one pass without a shuffle.
 
 Null or empty texts score as a document without words; labels with a null id or grade are left
 out; of several labels of an id the highest counts; without any label or with one grade only, every
-document is graded by the share of grades alone (0 without labels). Repeated rows are scored each.
+document is graded by the share of grades alone (0 without labels). Repeated rows are scored each; an empty table gives an
+empty one. Only the id, text and grade are looked at; keep_clean() carries all other columns as they are.
 """
 
 from __future__ import annotations
