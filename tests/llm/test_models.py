@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -62,6 +63,29 @@ def test_toxicity_over_tables(spark):
     assert T.grade_documents(docs(spark, []), model).count() == 0
 
 
+def test_severity_agrees_with_plain_sums(spark):
+    """Words and their first bytes by a regular expression, each once; the sum of the chances of every grade."""
+    r = random.Random(12)
+    grades = {k: r.choice([0, 0, 1, 2]) for k in range(400)}
+    table = [(k, text(r, 2, 10) + {0: "", 1: " You rude one!", 2: " RUDE vile-vile thing"}[g]) for k, g in grades.items()] + [(500, "rudeness, ärger; VILE"), (501, None), (502, "..."), (None, "vile")]
+    model = T.fit_labels(docs(spark, table), spark.createDataFrame(list(grades.items()), "doc_id long, severity int"), "severity")
+    assert len(model.thresholds) == 2
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+
+    def hashes(word):
+        part = next(chunks(pa.array([word]), NO_LETTER))
+        return {int(part.hashes[0]), *[int(part.prefixes(k)[0]) for k in T.STEMS]}
+
+    want = []
+    for i, t in table:
+        words = {w.decode("utf-8", "surrogateescape") for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())}
+        score = sum(weight.get(h, 0.0) for h in set().union(*[hashes(w) for w in words]))
+        want.append((i, sum(1 / (1 + math.exp(float(x) - score)) for x in model.thresholds)))
+    got = T.grade_documents(docs(spark, table), model).collect()
+    for a, b in zip(sorted(got, key=lambda x: (x["doc_id"] is None, x["doc_id"])), sorted(want, key=lambda x: (x[0] is None, x[0])), strict=True):
+        assert a["doc_id"] == b[0] and abs(a["severity"] - b[1]) < 1e-9 and a["toxic"] == (b[1] >= T.REJECT)
+
+
 def test_best_run_agrees_with_the_plain_table():
     r = random.Random(3)
     for _ in range(300):
@@ -100,7 +124,7 @@ def edited(r, words, n):
 def test_leaks_against_all_pairs(spark):
     """Recall against exact distances of every document and item, at up to the allowed edits."""
     r = random.Random(4)
-    items = [(k, " ".join(sentence(r, r.randint(8, 20)) for _ in range(r.randint(1, 3)))) for k in range(40)] + [(90, "too short"), (91, None), (92, "")]
+    items = [(k, " ".join(sentence(r, r.randint(8, 20)) for _ in range(r.randint(1, 3)))) for k in range(40)] + [(90, "too short"), (91, None), (92, ""), (93, "...")]
     table = []
     for k in range(300):
         body = text(r, 3, 14)
@@ -115,7 +139,7 @@ def test_leaks_against_all_pairs(spark):
     assert pairs[902, 0] == 2 and pairs[None, 1] == 1
     model = D.Items(items)
     want = set()
-    for part in chunks(pa.array([t for _, t in table], pa.string()), NO_LETTER):
+    for part in chunks(pa.array([t for _, t in table], pa.string()), NO_LETTER, letters=True):
         for i in range(len(part)):
             for item, words in zip(model.ids, model.words, strict=True):
                 if len(part.of(i)) and D.best_run(words, part.of(i))[0] <= D.allowed(len(words)):
@@ -130,6 +154,22 @@ def test_leaks_against_all_pairs(spark):
     assert D.leaks(docs(spark, []), bench).count() == 0 and D.leaks(docs(spark, table), bench.where("false")).count() == 0
 
 
+def test_short_items_and_letters(spark):
+    """Items of one to four words as they are; Chinese and Japanese letters are words, whatever stands beside them."""
+    kanji = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少"
+    items = [(1, "zyx"), (2, "alpha beta"), (3, "One, two three"), (4, "a b c d"), (5, "日本語"), (6, kanji), (None, "of no id")]
+    changed = kanji[:5] + "猫" + kanji[6:12] + kanji[13:]
+    table = [
+        (1, "so ZYX it is"), (2, "zyxx alpha, Beta"), (3, "one two. Three four"), (4, "a b c e d"), (5, "x a-b c d"), (6, "alpha gamma beta"), (7, "これは日本語です"), (8, "日本 語"), (9, f"漢字{kanji}漢字"),
+        (10, f"abc{changed}def"), (11, kanji[::2]), (12, "日本"), (13, "was of no id here"), (14, None),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in D.leaks(docs(spark, table), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 4), (7, 5), (8, 5), (9, 6), (10, 6), (13, None)}
+    assert got[10, 6]["edits"] == 2 and got[7, 5]["item_words"] == 3
+    assert dict(table)[9].encode()[got[9, 6]["start"] : got[9, 6]["end"]].decode() == kanji
+
+
 def test_blocks_of_items(spark, monkeypatch):
     r = random.Random(5)
     items = [(k, sentence(r, 12)) for k in range(30)]
@@ -247,6 +287,40 @@ def test_scores(spark, monkeypatch, chunk):
     assert M.train_and_score(docs(spark, [])).count() == 0
 
 
+def test_score_agrees_with_a_plain_recount(spark):
+    """By the classes that words got: counts of classes in a row and of words, all recounted by plain loops."""
+    r = random.Random(11)
+    table = [(k, text(r, 3, 10)) for k in range(80)] + [(500, None), (501, "never seen words"), (502, "")]
+    df = docs(spark, table)
+    coded = M.code(df)
+    words = M.vocabulary(coded, 5)
+    labels, model = M.refine(coded, words, M.learn(coded, words), 5)
+    split = lambda t: (t or "").encode().lower().split()
+    of, seen = {}, {}
+    for part in chunks(pa.array([t for _, t in table])):
+        seen |= {int(h): part.word(i) for i, h in enumerate(part.hashes)}
+    for x in labels.collect():
+        of |= {seen[h]: c for h, c in zip(np.frombuffer(x["hashes"], np.uint64).tolist(), M._unpack(x["classes"], np.uint16).tolist(), strict=True)}
+    k = len(model.follow)
+    train = [split(t) for i, t in table if not M.held_out(i)]
+    count, pairs, tokens = Counter(w for t in train for w in t), Counter(), Counter()
+    for t in train:
+        track = [k - 1, *[of[w] for w in t], k - 1]
+        pairs.update(zip(track, track[1:], strict=False))
+    for w, n in count.items():
+        tokens[of[w]] += n
+    types, begin = Counter(of[w] for w in count), Counter()
+    for (a, _), n in pairs.items():
+        begin[a] += n
+    want = {}
+    for i, t in table:
+        track = [k - 1, *[of[w] for w in split(t)], k - 1]
+        follow = sum(math.log10((pairs[a, b] + M.ALPHA) / (begin[a] + M.ALPHA * k)) for a, b in zip(track, track[1:], strict=False))
+        want[i] = follow + sum(math.log10((count[w] + M.ALPHA) / (tokens[of[w]] + M.ALPHA * (types[of[w]] + 1))) for w in split(t))
+    got = {x["doc_id"]: x["score"] for x in M.score(labels, model).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_probabilities_sum_to_one(spark):
     r = random.Random(9)
     table = [(k, text(r, 3, 10)) for k in range(40)]
