@@ -86,6 +86,10 @@ class ProtocolError(VersionDataError):
     """A response or request that doesn't hold what its command says."""
 
 
+class HistoryTooLargeError(VersionDataError):
+    """More commits than one sequence is made of."""
+
+
 class PathNotFoundError(VersionDataError):
     pass
 

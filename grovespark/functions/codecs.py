@@ -6,20 +6,18 @@ Pure functions over bytes, wrapped at the end as Arrow-batched UDFs and table fu
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from grovespark.errors import DeltaError, InvalidObjectError, PktLineError
-from grovespark.functions.authors import PATTERN
+from grovespark.functions.authors import parse_author_text
 from grovespark.schema import AUTHOR, HEADERS
 
-_AUTHOR = re.compile(PATTERN)
-
 
 def framed(kind: str, content: bytes) -> bytes:
     return b"%s %d\0%s" % (kind.encode(), len(content), content)
@@ -53,11 +51,6 @@ def decode_tree(body: bytes) -> list[tuple[str, str, str]]:
 # Headers of commits and tags
 
 
-def parse_author_text(text: str) -> dict | None:
-    m = _AUTHOR.match(text)
-    return {"name": m[1], "email": m[2], "timestamp": int(m[3]), "timezone": m[4]} if m else None
-
-
 def author_text(a: dict) -> str:
     return f"{a['name']} <{a['email']}> {a['timestamp']} {a['timezone']}"
 
@@ -264,37 +257,57 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
     return bytes(out)
 
 
+def _agree(a: bytes, i: int, b: bytes, j: int) -> int:
+    """How many bytes from a[i:] and b[j:] on are the same."""
+    n, step, most = 0, 64, min(len(a) - i, len(b) - j)
+    while n < most:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+            step *= 2
+        elif step == 1:
+            break
+        else:
+            step //= 2
+    return n
+
+
+def _copies(base: bytes, target: bytes, block: int) -> list[tuple[int, int]]:
+    """(place in target, place in base) wherever the target holds one of the base's blocks; by sums over all windows at once."""
+    if min(len(base), len(target)) < block:
+        return []
+    powers = np.cumprod(np.full(block, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    sums = lambda data: (np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), block) * powers).sum(1, dtype=np.uint64)
+    blocks = np.frombuffer(base[: len(base) // block * block], np.uint8).reshape(-1, block)
+    keys, first = np.unique((blocks * powers).sum(1, dtype=np.uint64), return_index=True)
+    out = []
+    for low in range(0, len(target) - block + 1, 1 << 16):  # so that windows of long targets aren't all in memory
+        found = sums(target[low : low + (1 << 16) + block - 1])
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == found)
+        out += zip((hit + low).tolist(), (first[at[hit]] * block).tolist(), strict=True)
+    return out
+
+
 def create_delta(base: bytes, target: bytes, block: int = 16) -> bytes:
     """A delta from base to target: the base's blocks are looked up at every place of the target, and a match is
     extended forward as far as it goes and backward over what would be inserted."""
-    where: dict[bytes, int] = {}
-    for k in range(0, len(base) - block + 1, block):
-        where.setdefault(base[k : k + block], k)
     out = bytearray(encode_varint(len(base)) + encode_varint(len(target)))
-    plain = bytearray()
-
-    def insert() -> None:
-        for k in range(0, len(plain), 127):
-            part = plain[k : k + 127]
-            out.append(len(part))
-            out.extend(part)
-        plain.clear()
-
-    at = 0
-    while at < len(target):
-        low = where.get(target[at : at + block]) if at + block <= len(target) else None
-        if low is None:
-            plain.append(target[at])
-            at += 1
+
+    def insert(part: bytes) -> None:
+        for k in range(0, len(part), 127):
+            out.append(len(part[k : k + 127]))
+            out.extend(part[k : k + 127])
+
+    done = 0
+    for at, low in _copies(base, target, block):
+        if at < done or base[low : low + block] != target[at : at + block]:
             continue
-        n = block
-        while at + n < len(target) and low + n < len(base) and target[at + n] == base[low + n]:
-            n += 1
-        while plain and low and plain[-1] == base[low - 1]:
-            plain.pop()
+        n = block + _agree(base, low + block, target, at + block)
+        while at > done and low and target[at - 1] == base[low - 1]:
             low, at, n = low - 1, at - 1, n + 1
-        insert()
-        at += n
+        insert(target[done:at])
+        done = at + n
         while n:
             part = min(n, 0xFFFF)
             op, extra = 128, bytearray()
@@ -305,7 +318,7 @@ def create_delta(base: bytes, target: bytes, block: int = 16) -> bytes:
             out.append(op)
             out.extend(extra)
             low, n = low + part, n - part
-    insert()
+    insert(target[done:])
     return bytes(out)
 
 

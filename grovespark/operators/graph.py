@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grovespark.errors import ObjectNotFoundError
+from grovespark.errors import HistoryTooLargeError, ObjectNotFoundError
 from grovespark.operators.packs import positions
 from grovespark.storage import Scratch, numbered
 
@@ -176,13 +176,21 @@ def is_ancestor(edges: DataFrame, pairs: DataFrame, objects: DataFrame | None =
         kind = edges.schema["child"].dataType.simpleString()
         return pairs.join(pairs.select("old", "new").distinct().mapInArrow(walk, f"old {kind}, new {kind}, ancestor boolean"), ["old", "new"])
     scratch = Scratch(spark)
-    wanted = pairs.select("old", "new").distinct()
-    frontier = scratch.keep(wanted.select("old", "new", F.col("new").alias("at")))
+    wanted, ahead = pairs.select("old", "new").distinct(), there.select("child", "parent")
+    if boundary is None:
+        # whoever lies no higher above the roots than the old one can't reach it, and isn't walked
+        ends = ahead.select(F.col("child").alias("oid")).union(ahead.select("parent")).union(wanted.select("old"))
+        high = scratch.keep(generations(ahead, ends, small).withColumnRenamed("oid", "at"))
+        wanted = wanted.join(high.select(F.col("at").alias("old"), F.col("generation").alias("floor")), "old")
+        ahead = scratch.keep(ahead.join(high.withColumnRenamed("at", "parent"), "parent"))
+    else:
+        wanted, ahead = wanted.withColumn("floor", F.lit(-1)), ahead.withColumn("generation", F.lit(0))
+    frontier = scratch.keep(wanted.select("old", "new", "floor", F.col("new").alias("at")))
     seen = frontier
     while not frontier.where("at <> old").isEmpty():
-        step = frontier.where("at <> old").join(there, F.col("at") == F.col("child")).select("old", "new", F.col("parent").alias("at")).distinct()
+        step = frontier.where("at <> old").join(ahead.where("parent IS NOT NULL"), F.col("at") == F.col("child")).where("parent = old OR generation > floor").select("old", "new", "floor", F.col("parent").alias("at")).distinct()
         frontier = scratch.keep(step.join(seen, ["old", "new", "at"], "left_anti"))
-        seen = seen.union(frontier)
+        seen = seen.unionByName(frontier)
     hit = F.col("at") == F.col("old")
     if boundary is not None and objects is not None:
         pardon = boundary.select(F.col("oid").alias("at")).join(objects.select(F.col("oid").alias("at")), "at", "left_anti").withColumn("pardon", F.lit(True))
@@ -264,7 +272,7 @@ def log(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: DataFra
     edges = Scratch(commits.sparkSession).keep(edges)  # several walks read them
     found = history(commits, edges, start, exclude, first_parent, since if order == "date" else None, small)
     if order == "topo":
-        rank = _topo_order(found, edges.where("ord = 0") if first_parent else edges)
+        rank = _topo_order(found, edges.where("ord = 0") if first_parent else edges, max(small, SMALL))
         kept = found.join(rank, "oid")
         if since is not None:
             kept = kept.where(F.col("ts") >= since)
@@ -282,17 +290,21 @@ def log(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: DataFra
     return out.where(F.col("position") >= skip).withColumn("position", F.col("position") - skip).drop("__rank", "generation")
 
 
-def _topo_order(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """(oid, __rank): the order in which commits become ready, newest first. An output in one order is one sequence, so ids
-    and times of the commits found (not their contents) are put in order on the driver."""
+def _topo_order(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(oid, __rank): the order in which commits become ready, newest first. Which one comes next depends on all before it, so
+    this order can't be dealt to tasks: ids and times of the commits found (not their contents) are put in order on the driver, `most` of
+    them and of their edges at most. HistoryTooLargeError beyond that: topo_levels() orders any number."""
     spark = found.sparkSession
     ids = found.select("oid")
     inside = edges.join(ids.withColumnRenamed("oid", "child"), "child", "left_semi").join(ids.withColumnRenamed("oid", "parent"), "parent", "left_semi")
-    times = {r["oid"]: r["ts"] for r in found.select("oid", "ts").collect()}
+    rows, pairs = _few(found.select("oid", "ts"), most), _few(inside.select("child", "parent").distinct(), most)
+    if rows is None or pairs is None:
+        raise HistoryTooLargeError(f"more than {most} commits or edges in topological order")
+    times = dict(zip(rows.column("oid").to_pylist(), rows.column("ts").to_pylist(), strict=True))
     near, waits = defaultdict(list), defaultdict(int)
-    for r in inside.select("child", "parent").distinct().collect():
-        near[r["child"]].append(r["parent"])
-        waits[r["parent"]] += 1
+    for child, parent in zip(pairs.column("child").to_pylist(), pairs.column("parent").to_pylist(), strict=True):
+        near[child].append(parent)
+        waits[parent] += 1
     ready = [(-t, i) for i, t in times.items() if not waits[i]]
     heapq.heapify(ready)
     out = []
@@ -318,6 +330,13 @@ def all_closures(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+def closure_with(edges: DataFrame, roots: DataFrame, known: DataFrame, small: int = SMALL) -> DataFrame:
+    """closure() with the help of materialised closures (root, oid): the walk stops at a root that is known, whose closure is
+    taken as it is."""
+    walked = Scratch(edges.sparkSession).keep(closure(edges, roots, known.select(F.col("root").alias("oid")).distinct(), small))
+    return walked.union(known.join(walked.select(F.col("oid").alias("root")), "root", "left_semi").select("oid")).distinct()
+
+
 def type_bitmaps(objects: DataFrame) -> DataFrame:
     """(type, bucket, bits): which positions (in the order of ids) hold each type, as Spark's bitmaps."""
     at = positions(objects.select("oid", "type")).withColumn("position", F.col("position") + 1)

@@ -15,29 +15,33 @@ from grovespark.functions.oid import is_oid
 from grovespark.storage import Scratch
 
 _SYMBOLIC = "ref: "
-#: Steps of a symbolic chain that are followed; a longer one can only be a circle.
-LONGEST_CHAIN = 64
+
+
+def chain_ends(links: DataFrame) -> DataFrame:
+    """(name, end): where links (name, at), one for each name, lead at last; null where they never end.
+    Each round doubles the steps that a name has taken, so a chain of any length takes its logarithm of joins; who is still on the way
+    after as many steps as there are links goes round in a circle."""
+    scratch = Scratch(links.sparkSession)
+    jump = scratch.keep(links.select("name", "at"))
+    for _ in range(jump.count().bit_length() + 1):
+        far = jump.select(F.col("name").alias("at"), F.col("at").alias("far"))
+        jump = scratch.keep(jump.select("name", "at").join(far, "at", "left").select("name", F.coalesce("far", "at").alias("at"), F.col("far").isNotNull().alias("open")))
+        if jump.where("open").isEmpty():
+            return jump.select("name", F.col("at").alias("end"))
+    return jump.select("name", F.when(~F.col("open"), F.col("at")).alias("end"))
 
 
 def resolve(refs: DataFrame) -> DataFrame:
     """(name, symref, oid, error): refs (name, target) followed to an id. symref: the last name of a symbolic chain (null for a
-    direct one); oid is null for a broken chain; error is 'circle' for one without an end.
-    One self-join a step; chains are short, so it ends when none is open."""
+    direct one); oid is null for a broken chain; error is 'circle' for one without an end."""
     value = F.trim(F.col("target"))
     table = refs.select("name", F.when(value.startswith(_SYMBOLIC), F.trim(F.substring(value, len(_SYMBOLIC) + 1, 4096))).alias("next"), F.when(is_oid(value), value).alias("value"))
-    scratch = Scratch(refs.sparkSession)
-    table = scratch.keep(table)
-    open_ = table.select("name", F.col("next").alias("at"), F.col("value").alias("oid"))
-    done = open_.where("at IS NULL").select("name", F.lit(None).cast("string").alias("symref"), "oid", F.lit(None).cast("string").alias("error"))
-    open_ = scratch.keep(open_.where("at IS NOT NULL"))
-    # a chain longer than there are symbolic references is a circle
-    for _ in range(min(LONGEST_CHAIN, open_.count())):
-        if open_.isEmpty():
-            return done
-        step = scratch.keep(open_.select("name", "at").join(table.select(F.col("name").alias("at"), "next", "value"), "at", "left"))
-        done = done.unionByName(step.where("next IS NULL").select("name", F.col("at").alias("symref"), F.col("value").alias("oid"), F.lit(None).cast("string").alias("error")))
-        open_ = scratch.keep(step.where("next IS NOT NULL").select("name", F.col("next").alias("at"), F.lit(None).cast("string").alias("oid")))
-    return done.unionByName(open_.select("name", F.lit(None).cast("string").alias("symref"), F.lit(None).cast("string").alias("oid"), F.lit("circle").alias("error")))
+    table = Scratch(refs.sparkSession).keep(table)
+    none = F.lit(None).cast("string")
+    direct = table.where("next IS NULL").select("name", none.alias("symref"), F.col("value").alias("oid"), none.alias("error"))
+    ends = chain_ends(table.where("next IS NOT NULL").select("name", F.col("next").alias("at")))
+    found = ends.join(table.select(F.col("name").alias("end"), "value"), "end", "left")
+    return direct.unionByName(found.select("name", F.col("end").alias("symref"), F.col("value").alias("oid"), F.when(F.col("end").isNull(), "circle").alias("error")))
 
 
 def resolve_one(refs: DataFrame, name: str) -> str | None:
@@ -62,19 +66,13 @@ def current_refs(refs: DataFrame) -> DataFrame:
 
 
 def peel(tags: DataFrame, start: DataFrame) -> DataFrame:
-    """(oid, peeled): start (oid) followed through tags (oid, object) to what isn't a tag here."""
-    scratch = Scratch(tags.sparkSession)
-    table = tags.select(F.col("oid").alias("at"), "object")
-    open_ = scratch.keep(start.select("oid", F.col("oid").alias("at")).distinct())
-    done = None
-    for _ in range(LONGEST_CHAIN):
-        step = scratch.keep(open_.join(table, "at", "left"))
-        end = step.where("object IS NULL").select("oid", F.col("at").alias("peeled"))
-        done = end if done is None else done.unionByName(end)
-        open_ = scratch.keep(step.where("object IS NOT NULL").select("oid", F.col("object").alias("at")))
-        if open_.isEmpty():
-            return done
-    raise CircularReferenceError("a chain of tags")
+    """(oid, peeled): start (oid) followed through tags (oid, object) to what isn't a tag here. CircularReferenceError for tags
+    that lead round to themselves."""
+    ends = Scratch(tags.sparkSession).keep(chain_ends(tags.select(F.col("oid").alias("name"), F.col("object").alias("at")).distinct()).select(F.col("name").alias("oid"), "end"))
+    rows = start.select("oid").distinct().join(ends, "oid", "left")
+    if not ends.where("end IS NULL").join(start.select("oid"), "oid", "left_semi").isEmpty():
+        raise CircularReferenceError("a chain of tags")
+    return rows.select("oid", F.coalesce("end", "oid").alias("peeled"))
 
 
 def with_peeled(refs: DataFrame, tags: DataFrame) -> DataFrame:

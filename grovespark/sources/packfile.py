@@ -284,10 +284,14 @@ def read_bitmap(data: bytes) -> tuple[dict[str, set[int]], dict[int, set[int]],
     return types, entries, data[12:32].hex()
 
 
-def write_bitmap(types: dict[str, set[int]], entries: dict[int, set[int]], objects: int, pack_checksum: str) -> bytes:
+def write_bitmap(types: dict[str, set[int]], entries: dict[int, set[int]], objects: int, pack_checksum: str, xor: bool = False) -> bytes:
+    """xor: every entry but the first as its difference from the one before."""
     body = BITMAP_MAGIC + struct.pack(">HHI", 1, 1, len(entries)) + bytes.fromhex(pack_checksum)
     for kind in ("commit", "tree", "blob", "tag"):
         body += encode_ewah(types.get(kind, set()), objects)
+    before = None
     for position, reached in entries.items():
-        body += struct.pack(">IBB", position, 0, 0) + encode_ewah(reached, objects)
+        back = int(xor and before is not None)
+        body += struct.pack(">IBB", position, back, 0) + encode_ewah(reached ^ before if back else reached, objects)
+        before = reached
     return body + hashlib.sha1(body).digest()

@@ -1,7 +1,7 @@
 """Intermediate tables of iterative operators: written to the folder in spark.checkpoint.dir.
 
-Each is a Parquet table, so lineage is cut and an executor's loss costs no earlier round. Where the cluster names no
-folder (tests, a laptop), a local one is made.
+Each is a Parquet table, so lineage is cut and an executor's loss costs no earlier round. Where no folder is named and the
+master is local (tests, a laptop), a local one is made.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """RuntimeError on a cluster that names none: executors don't share the driver's disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='grovespark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -180,3 +181,33 @@ def test_batched_functions(spark):
     df = spark.createDataFrame([(zlib.compress(b"abc"), 300), (b"no", 0), (None, None)], "z binary, n bigint")
     got = df.select(codecs.inflate("z"), codecs.varint_value(codecs.varint_bytes("n"))).collect()
     assert [(None if r[0] is None else bytes(r[0]), r[1]) for r in got] == [(b"abc", 300), (None, 0), (None, None)]
+
+
+AUTHORS = {
+    "A <a@x> 1 +0000": ("A", "a@x", 1, "+0000"), "A B <a b> c> 12 -0530": ("A B", "a b> c", 12, "-0530"), "A <x <y> 5 +0000": ("A", "x <y", 5, "+0000"), "Ä <ä@x> 99 +0800": ("Ä", "ä@x", 99, "+0800"),
+    "  <a> 1 +0000": (" ", "a", 1, "+0000"), " <a> 1 +0000": None, "A <> 1 +0000": None, "A <a> -1 +0000": None, "A <a> 1 0000": None, "A <a> 1": None, "A a 1 +0000": None, "": None, "A\nB <a> 1 +0000": None, "A <a> 1 +00000": None,
+}
+
+
+def test_authors_by_both_readers(spark):
+    """The column function and the plain one agree."""
+    fields = ("name", "email", "timestamp", "timezone")
+    want = [None if w is None else dict(zip(fields, w, strict=True)) for w in AUTHORS.values()]
+    assert [authors.parse_author_text(a) for a in AUTHORS] == want
+    got = spark.createDataFrame(list(enumerate(AUTHORS)), "k int, a string").select("k", authors.parse_author(F.col("a")).alias("p")).orderBy("k").collect()
+    assert [r["p"].asDict() if r["p"] else None for r in got] == want
+
+
+def test_deltas_of_random_edits():
+    r = random.Random(1)
+    for n in (0, 1, 15, 16, 17, 200, 5000, 200_000):
+        base = bytes(r.randrange(256) for _ in range(n)) if n < 6000 else r.randbytes(n)
+        target = bytearray(base)
+        for _ in range(r.randrange(6)):
+            at = r.randrange(len(target) + 1)
+            target[at : at + r.randrange(30)] = r.randbytes(r.randrange(40))
+        target = bytes(target) + base[: n // 2]
+        delta = codecs.create_delta(base, target)
+        assert codecs.apply_delta(base, delta) == target
+        assert n < 200 or len(delta) < len(target) // 4
+    assert len(codecs.create_delta(bytes(100_000), bytes(100_000))) < 60

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from grovespark.errors import ObjectNotFoundError
+from grovespark.errors import HistoryTooLargeError, ObjectNotFoundError
 from grovespark.operators import graph
 from tests.conftest import rows
 
@@ -145,3 +145,21 @@ def test_positions(spark):
     bits = graph.type_bitmaps(df).selectExpr("type", "bitmap_count(bits) AS n")
     assert rows(bits) == [("blob", 200), ("tree", 100)]
     assert numbered(df.where("false"), [df["oid"]]).count() == 0
+
+
+def test_known_closures_help_a_walk(spark):
+    edges = spark.createDataFrame([(k, k - 1) for k in range(1, 30)] + [(k, k - 7) for k in range(8, 30, 5)], "child long, parent long")
+    roots = spark.createDataFrame([(29,), (12,), (5,)], "oid long")
+    known = graph.all_closures(edges, spark.createDataFrame([(20,), (5,)], "oid long"))
+    assert rows(graph.closure_with(edges, roots, known)) == rows(graph.closure(edges, roots))
+    assert rows(graph.closure_with(edges, roots, known, small=0)) == rows(graph.closure(edges, roots))
+
+
+def test_topological_order_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", 5)
+    commits = spark.createDataFrame([(k, k * 10) for k in range(10)], "oid long, ts long")
+    edges = spark.createDataFrame([(k, k - 1, 0) for k in range(1, 10)], "child long, parent long, ord int")
+    start = spark.createDataFrame([(9,)], "oid long")
+    assert [r["oid"] for r in graph.log(commits, edges, spark.createDataFrame([(4,)], "oid long"), order="topo").orderBy("position").collect()] == [4, 3, 2, 1, 0]
+    with pytest.raises(HistoryTooLargeError):
+        graph.log(commits, edges, start, order="topo", small=1)

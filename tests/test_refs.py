@@ -167,3 +167,17 @@ def test_server(spark, world):
     assert P.report(sent, states).count() == 4
     with pytest.raises(ProtocolError):
         P.report(sent, states.limit(3))
+
+
+def test_chains_of_any_length(spark):
+    """A chain of 200 symbolic references comes to its id, tags alike; a circle, and what leads into one, is named."""
+    rows_ = [("refs/x/0", "a" * 40)] + [(f"refs/x/{k}", f"ref: refs/x/{k - 1}") for k in range(1, 200)]
+    rows_ += [("refs/c/1", "ref: refs/c/2"), ("refs/c/2", "ref: refs/c/3"), ("refs/c/3", "ref: refs/c/1"), ("refs/c/in", "ref: refs/c/1"), ("refs/c/self", "ref: refs/c/self"), ("refs/b/1", "ref: refs/b/none")]
+    got = {r["name"]: r for r in R.resolve(spark.createDataFrame(rows_, "name string, target string")).collect()}
+    assert len(got) == len(rows_) and all(got[f"refs/x/{k}"]["oid"] == "a" * 40 for k in range(200)) and got["refs/x/199"]["symref"] == "refs/x/0" and got["refs/x/0"]["symref"] is None
+    assert {n for n, r in got.items() if r["error"] == "circle"} == {"refs/c/1", "refs/c/2", "refs/c/3", "refs/c/in", "refs/c/self"}
+    assert got["refs/b/1"]["oid"] is None and got["refs/b/1"]["symref"] == "refs/b/none" and got["refs/b/1"]["error"] is None
+    tags = spark.createDataFrame([(f"t{k}", f"t{k - 1}") for k in range(1, 200)], "oid string, object string")
+    assert rows(R.peel(tags, spark.createDataFrame([("t199",), ("other",)], "oid string"))) == [("other", "other"), ("t199", "t0")]
+    with pytest.raises(CircularReferenceError):
+        R.peel(spark.createDataFrame([("a", "b"), ("b", "a")], "oid string, object string"), spark.createDataFrame([("a",)], "oid string"))
