@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,19 @@ def _query(sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    """The other modules register what they hold as they are imported."""
+    for name in ("files", "functions", "worktrees"):
+        importlib.import_module(f"grovespark.queries_{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -71,9 +80,11 @@ def blob_oid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.blobs(spark, sf_dir).select("doc_id", "oid", "size")
 
 
-@_query(f"SELECT oid, min(doc_id) AS first_doc, count(*) AS copies FROM (SELECT doc_id, {_oid('text')} AS oid FROM documents) GROUP BY oid")
+@_query(f"SELECT oid, octet_length(encode(min(text))) AS size FROM (SELECT text, {_oid('text')} AS oid FROM documents) GROUP BY oid")
 def object_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.blobs(spark, sf_dir).groupBy("oid").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+    """A store never holds an id twice."""
+    b = X.blobs(spark, sf_dir).select("oid", "size")
+    return refs.ingest(b.limit(0), b)
 
 
 @_query(f"SELECT doc_id, concat(substr(oid, 1, 2), '/', substr(oid, 3)) AS path FROM (SELECT doc_id, {_oid('text')} AS oid FROM documents)")
@@ -107,11 +118,6 @@ def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Snapshots and trees
 
 
-@_query(f"SELECT path, 'blob' AS kind, mode, oid FROM ({_A})")
-def tree_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.snapshot_a(spark, sf_dir).select("path", paths.kind(F.col("mode")).alias("kind"), "mode", "oid")
-
-
 _KIND = "CASE {m} WHEN '120000' THEN 'symlink' WHEN '040000' THEN 'tree' ELSE 'blob' END"
 
 
@@ -207,8 +213,7 @@ def tree_patch_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN path LIKE 'src1/%' THEN 'moved/' || substr(path, 6) ELSE path END AS path, mode, oid FROM ({_A})
 UNION ALL SELECT 'copy/' || substr(path, 6), mode, oid FROM ({_A}) WHERE path LIKE 'src2/%'""")
 def worktree_move_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = spark.createDataFrame([("move", "src1", "moved"), ("copy", "src2", "copy")], "op string, from_path string, to_path string")
-    return worktree.rewrite(X.snapshot_a(spark, sf_dir), moves)
+    return worktree.Worktree(X.snapshot_a(spark, sf_dir)).move("src1", "moved").copy("src2", "copy").current
 
 
 @_query(f"""
@@ -239,7 +244,9 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_DAG} SELECT child, parent, ord FROM e")
 def commit_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.commit_edges(spark, sf_dir)
+    """Edges of commits that hold their parents as a list."""
+    made = X.commit_edges(spark, sf_dir).groupBy("child").agg(F.array_sort(F.collect_list(F.struct("ord", "parent"))).alias("p"))
+    return graph.commit_edges(made.select(F.col("child").alias("oid"), F.col("p.parent").alias("parents")))
 
 
 def _heads(spark: SparkSession, sf_dir: str, divisor: int, rest: int = 0) -> DataFrame:
@@ -278,17 +285,23 @@ def have_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.common(haves, X.commits(spark, sf_dir))
 
 
-@_query(f"""
-WITH RECURSIVE {_DAG}, pairs AS (SELECT a.oid AS old, b.oid AS new FROM o a JOIN o b ON a.cust = b.cust AND a.rn = 1 WHERE b.oid % 5 = 0
-  UNION SELECT b.oid, a.oid FROM o a JOIN o b ON a.cust = b.cust AND a.rn = 1 WHERE b.oid % 5 = 0),
+_ANCESTORS = f"""
+WITH RECURSIVE {_DAG}, pairs AS (SELECT a.oid AS old, b.oid AS new FROM o a JOIN o b ON a.cust = b.cust AND a.rn = 1
+  UNION SELECT b.oid, a.oid FROM o a JOIN o b ON a.cust = b.cust AND a.rn = 1),
 w(new, here) AS (SELECT DISTINCT new, new FROM pairs UNION SELECT w.new, e.parent FROM w JOIN e ON e.child = w.here)
-SELECT old, new, EXISTS (SELECT 1 FROM w WHERE w.new = pairs.new AND w.here = pairs.old) AS ancestor FROM pairs""")
-def is_ancestor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT old, new, EXISTS (SELECT 1 FROM w WHERE w.new = pairs.new AND w.here = pairs.old) AS ancestor FROM pairs"""
+
+
+def _first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every commit with its customer's first one, both ways."""
     o = X.commit_table(spark, sf_dir)
-    first = o.where("rn = 1").select(F.col("oid").alias("a"), "cust")
-    both = o.where("oid % 5 = 0").select(F.col("oid").alias("b"), "cust").join(first, "cust")
-    pairs = both.select(F.col("a").alias("old"), F.col("b").alias("new")).union(both.select("b", "a")).distinct()
-    return graph.is_ancestor(X.commit_edges(spark, sf_dir), pairs).select("old", "new", "ancestor")
+    both = o.select(F.col("oid").alias("b"), "cust").join(o.where("rn = 1").select(F.col("oid").alias("a"), "cust"), "cust")
+    return both.select(F.col("a").alias("old"), F.col("b").alias("new")).union(both.select("b", "a")).distinct()
+
+
+@_query(_ANCESTORS)
+def is_ancestor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.is_ancestor(X.commit_edges(spark, sf_dir), _first_pairs(spark, sf_dir)).select("old", "new", "ancestor")
 
 
 _LOG = "SELECT h.oid, h.ts, row_number() OVER (ORDER BY ts DESC, generation DESC, h.oid) - 1 AS position FROM h JOIN gen ON gen.oid = h.oid"
@@ -304,6 +317,9 @@ gen AS (SELECT oid, max(d) AS generation FROM g GROUP BY oid) """
 _START = "SELECT oid FROM o WHERE oid % 40 = 0"
 
 
+_START_CLOSURE = f"WITH RECURSIVE {_DAG}, {_closure_sql(_START)} SELECT oid FROM reach"
+
+
 def _log(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     found = graph.log(X.commits(spark, sf_dir), X.commit_edges(spark, sf_dir), _heads(spark, sf_dir, 40), **options)
     return found.select("oid", "ts", "position")
@@ -360,10 +376,27 @@ def child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.child_counts(X.commit_edges(spark, sf_dir))
 
 
-@_query(f"""
-WITH RECURSIVE {_DAG}, w(root, oid) AS (SELECT oid, oid FROM o WHERE oid % 500 = 0 UNION SELECT w.root, e.parent FROM w JOIN e ON e.child = w.oid) SELECT root, oid FROM w""")
-def reachability_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.all_closures(X.commit_edges(spark, sf_dir), _heads(spark, sf_dir, 500))
+# The same walks level by level, as for graphs that no driver holds
+
+
+@_query(_START_CLOSURE)
+def closure_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(X.commit_edges(spark, sf_dir), _heads(spark, sf_dir, 40), small=0)
+
+
+@_query(_log_sql(_START) + _LOG)
+def log_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir, small=0)
+
+
+@_query(f"WITH RECURSIVE {_DAG}, {_longest_sql('o')} SELECT oid, generation FROM gen")
+def generations_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.generations(X.commit_edges(spark, sf_dir), X.commits(spark, sf_dir), small=0)
+
+
+@_query(_ANCESTORS)
+def is_ancestor_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.is_ancestor(X.commit_edges(spark, sf_dir), _first_pairs(spark, sf_dir), small=0).select("old", "new", "ancestor")
 
 
 # References
@@ -597,16 +630,19 @@ def crc32_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.with_crc(X.blobs(spark, sf_dir), "text").select("doc_id", "crc32")
 
 
-@_query("SELECT doc_id, true AS same, true AS smaller FROM documents WHERE length(text) > 200")
+@_query("SELECT doc_id, true AS same, octet_length(encode(text)) + 5 AS size, length(text) > 200 AS smaller FROM documents")
 def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.table(spark, sf_dir, "documents").where("length(text) > 200").select("doc_id", F.col("text").cast("binary").alias("base"), F.concat(F.substring("text", 51, 1 << 30), F.lit("!new!"), F.substring("text", 1, 50)).cast("binary").alias("target"))
+    """Every text to one whose first characters have moved to the end, and back; a delta of a long one is the smaller."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").cast("binary").alias("base"), F.concat(F.substring("text", 51, 1 << 30), F.lit("!new!"), F.substring("text", 1, 50)).cast("binary").alias("target"))
     made = d.withColumn("delta", codecs.delta_between("base", "target"))
-    return made.select("doc_id", (codecs.delta_target("base", "delta") == F.col("target")).alias("same"), (F.octet_length("delta") < F.octet_length("target")).alias("smaller"))
+    smaller = (F.octet_length("delta") < F.octet_length("target")) & (F.length("text") > 200)
+    return made.select("doc_id", (codecs.delta_target("base", "delta") == F.col("target")).alias("same"), F.octet_length(codecs.delta_target("base", "delta")).cast("bigint").alias("size"), smaller.alias("smaller"))
 
 
-@_query("SELECT conv_id, turn, upper(lpad(to_hex(octet_length(encode(text)) + 4), 4, '0')) AS head, octet_length(encode(text)) + 4 AS size FROM conversations WHERE octet_length(encode(text)) <= 65520")
+@_query("SELECT conv_id, turn, CASE WHEN n <= 65520 THEN upper(lpad(to_hex(n + 4), 4, '0')) END AS head, CASE WHEN n <= 65520 THEN n + 4 END AS size FROM (SELECT conv_id, turn, octet_length(encode(text)) AS n FROM conversations)")
 def pkt_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.table(spark, sf_dir, "conversations").where("octet_length(text) <= 65520").withColumn("f", codecs.frame_bytes("text"))
+    """A frame for each turn; null for a text that is too long for one."""
+    c = X.table(spark, sf_dir, "conversations").withColumn("f", codecs.frame_bytes("text"))
     return c.select("conv_id", "turn", F.substring("f", 1, 4).cast("string").alias("head"), F.octet_length("f").cast("bigint").alias("size"))
 
 
@@ -714,4 +750,4 @@ SELECT 'refs/heads/' AS prefix, a + b AS selected FROM s""")
 def import_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = importing.View(_live(spark, sf_dir))
     both = view.select("*1").union(view.select("*2")).exclude("refs/tags/*")
-    return both.refs.agg(F.count("*").alias("selected")).select(F.lit("refs/heads/").alias("prefix"), "selected")
+    return both.refs.agg(F.count("*").alias("selected")).select(F.lit(refs.common_prefix(both.refs)).alias("prefix"), "selected")

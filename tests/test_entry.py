@@ -43,8 +43,13 @@ def test_golden_root(spark):
 
 
 def test_without_llm(tmp_path):
-    for item in ("grovespark", "__spark_entry__.py"):
+    """The package without its llm folders and the pipeline: queries are listed, and the other tests are found and run."""
+    for item in ("grovespark", "tests", "__spark_entry__.py", "bench.py"):
         source = ROOT / item
         shutil.copytree(source, tmp_path / item, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'merkle_root' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'merkle_root' in q and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q); import bench"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    pytest_ = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider"]
+    found = subprocess.run([*pytest_, "--collect-only", "tests"], cwd=tmp_path, check=True, capture_output=True, text=True).stdout
+    assert "test_graph" in found and "error" not in found.splitlines()[-1]
+    subprocess.run([*pytest_, "-x", "tests/test_functions.py"], cwd=tmp_path, check=True, capture_output=True)
