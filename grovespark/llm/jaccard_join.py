@@ -15,8 +15,9 @@ for each document with its set's size and its component, so copies are never exp
 4. Prefix tree. The sets of a family are put into a tree, in a common order; each set is walked through
    it, sharing the overlap of what sets have in common, and a subtree is left out when the remaining lengths can't
    reach the overlap that a link needs, or when all its sets are already in the walker's component.
-   A family of more than BLOCK shingles is cut into blocks: first within blocks, then among one set of
-   each component and block, and only where components remain apart, between pairs of blocks.
+   A family of more than BLOCK shingles is cut into classes of sizes and those into blocks: first within blocks, then among one
+   set of each component and block, and only where components remain apart, between pairs of blocks of the same class or of
+   two that follow each other.
 
 A document without words has an empty set (0), is its own component and links with nothing, as has a
 null or empty text. A row with a null id gets its set's size and a null component. Rows with the same id
@@ -35,7 +36,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from grovespark.llm.components import components
 from grovespark.llm.shared import drop_table, fresh, shuffle_partitions, texts, write_table
@@ -44,6 +44,8 @@ from grovespark.llm.text import chunks, shingle_set
 SHINGLE = 5
 #: Hashes that a task counts before it sends them; shingles in a block of a family.
 RUN, BLOCK = 1_000_000, 2_000_000
+#: Two linked sets' sizes differ by a quarter at most: by one class of this ratio.
+CLASS = 1.26
 #: Bits of the sieve of candidates, at least and at most (16 for each candidate between).
 SIEVE = (1 << 20, 1 << 27)
 
@@ -493,35 +495,43 @@ def _joined(rows: DataFrame) -> DataFrame:
 def links(sets: DataFrame) -> DataFrame:
     """(a, b): links that connect all sets which links connect; written."""
     member = families(sets)
-    placed = sets.select("node", "n").join(member, "node")
-    weight = placed.groupBy("component").agg(F.sum("n").alias("weight"))
-    blocks = placed.join(weight.select("component", F.expr(f"cast((weight + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")), "component")
-    blocks = write_table(blocks.select("node", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    placed = sets.select("node", "n").join(member.withColumnRenamed("component", "family"), "node")
+    weight = placed.groupBy("family").agg(F.sum("n").alias("weight"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int")
+    placed = placed.join(weight, "family").select("node", "n", "family", F.when(F.col("weight") > BLOCK, size).otherwise(-1).alias("size"))
+    sizes = write_table(placed.groupBy("family", "size").agg(F.expr(f"cast((sum(n) + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")), "sizes")
+    blocks = write_table(placed.join(sizes, ["family", "size"]).select("node", "n", "family", "size", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
     name = lambda *parts: F.xxhash64("family", *parts)
-    rows = sets.join(blocks, "node")
-    found = write_table(_joined(rows.select(name("block").alias("group"), "node", "n", "tokens", F.col("node").alias("comp"), F.lit(0).alias("side"))), "found")
-    large = blocks.where("blocks > 1")
+    whole = lambda rows, *more: rows.join(sets, "node").select("group", "node", "n", "tokens", *more)
+    found = write_table(_joined(whole(blocks.select("node", name("size", "block").alias("group")), F.col("node").alias("comp"), F.lit(0).alias("side"))), "found")
+    large = blocks.where("size >= 0")
     if large.isEmpty():
-        drop_table(blocks)
+        for table in (blocks, sizes):
+            drop_table(table)
         return found
     for step in ("midst", "pairs"):
         now = components(found)
-        state = large.join(now, "node", "left").select("node", "family", "blocks", "block", F.coalesce("component", "node").alias("comp"))
+        state = large.join(now, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         apart = state.groupBy("family").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a < z").select("family")
-        state = state.join(apart, "family")
+        state = write_table(state.join(apart, "family"), "state")
         if state.isEmpty():
             break
         if step == "midst":
-            some = state.groupBy("family", "block", "comp").agg(F.min("node").alias("node"))
-            group = some.join(sets, "node").select(name(F.floor(F.sum("n").over(Window.partitionBy("family").orderBy("n", "node")) / BLOCK)).alias("group"), "node", "n", "tokens", "comp", F.lit(0).alias("side"))
+            some = state.groupBy("family", "size", "block", "comp").agg(F.min(F.struct("node", "n")).alias("x")).select("family", "size", "comp", "x.*")
+            parts = some.groupBy("family", "size").agg(F.expr(f"cast((sum(n) + {BLOCK - 1}) div {BLOCK} as int)").alias("parts"))
+            group = some.join(parts, ["family", "size"]).select("node", "comp", F.lit(0).alias("side"), name("size", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))).alias("group"))
         else:
-            both = state.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
-            pair = [F.least("block", "other"), F.greatest("block", "other")]
-            group = both.join(sets, "node").select(name(*pair).alias("group"), "node", "n", "tokens", "comp", F.col("block").alias("side"))
-        more = write_table(found.unionByName(_joined(group)), "found")
-        drop_table(found)
+            # linked sets are of one class of sizes or of two that follow each other
+            near = state.withColumn("other_size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).join(sizes.select("family", F.col("size").alias("other_size"), "blocks"), ["family", "other_size"])
+            both = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block OR other_size <> size")
+            pair = F.array_sort(F.array(F.struct("size", "block"), F.struct(F.col("other_size").alias("size"), F.col("other").alias("block"))))
+            group = both.select("node", "comp", F.xxhash64("size", "block").alias("side"), name(pair).alias("group"))
+        more = write_table(found.unionByName(_joined(whole(group, "comp", "side"))), "found")
+        for table in (found, state):
+            drop_table(table)
         found = more
-    drop_table(blocks)
+    for table in (blocks, sizes):
+        drop_table(table)
     return found
 
 
