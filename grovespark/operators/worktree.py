@@ -196,6 +196,34 @@ class Worktree:
         return trees.root(made), made
 
 
+class ChangeIndex:
+    """The changes of a worktree, kept from one state to the next: what touches one file is looked at alone, anything else is
+    compared anew. `changes` is always Worktree.diff()."""
+
+    def __init__(self, tree: Worktree, changes: DataFrame | None = None):
+        self.tree = tree
+        self.changes = Scratch(tree.base.sparkSession).keep(tree.diff()) if changes is None else changes
+
+    def plan(self, op: str, path: str, missing_is_file: bool = True) -> str:
+        """'path' or 'all': what has to be compared after an operation. A path that isn't there is taken for a file's."""
+        if op in ("move", "copy", "restore"):
+            return "all"
+        found = self.tree.stat(path)
+        if found is None:
+            return "path" if missing_is_file else "all"
+        return "all" if found["kind"] == "tree" else "path"
+
+    def after(self, op: str, path: str, tree: Worktree) -> ChangeIndex:
+        """The index of `tree`, which an operation on a path made of this one's."""
+        if self.plan(op, path) == "all":
+            return ChangeIndex(tree)
+        # a directory's own row can come or go with its only file
+        near = [path, *_above(path)]
+        some = lambda df: df.where(F.col("path").isin(near))
+        new = trees.diff(some(tree.base), some(tree.current))
+        return ChangeIndex(tree, Scratch(tree.base.sparkSession).keep(self.changes.where(~F.col("path").isin(near)).unionByName(new)))
+
+
 def _above(path: str) -> list[str]:
     parts = path.split("/")
     return ["/".join(parts[:k]) for k in range(1, len(parts))]

@@ -14,7 +14,7 @@ from grovespark.functions import codecs
 from grovespark.functions.oid import hash_data, oid
 from grovespark.operators import graph, packs, refs, worktree
 from grovespark.operators.worktree_store import WorktreeStore
-from grovespark.plans import protocol
+from grovespark.plans import protocol, services
 from grovespark.queries import _A, _DAG, _LIVE, _live, _oid, _query
 from grovespark.sources import datasource, packfile, writers
 from grovespark.storage import Scratch, numbered, shared_folder
@@ -434,3 +434,47 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT path, kind, size FROM (SELECT concat(source, '/', lang, '/', doc_id, '.txt') AS path, 'blob' AS kind, octet_length(encode(text)) AS size FROM documents)")
 def worktree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worktree.Worktree(X.snapshot_a(spark, sf_dir)).with_sizes(X.blobs(spark, sf_dir).select("oid", "size").distinct()).select("path", "kind", "size")
+
+
+# Exchange of messages, with services in this process
+
+
+def _served(spark: SparkSession, sf_dir: str) -> tuple[Repository, services.Transport]:
+    repo = _repository(spark, sf_dir)
+    return repo, services.transport_of(services.UploadPackService(repo))
+
+
+@_query("SELECT 'HEAD' AS name, 'refs/heads/main' AS symref_target, true AS same UNION ALL SELECT 'refs/heads/main', NULL, true")
+def service_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A server's references over the wire."""
+    repo, transport = _served(spark, sf_dir)
+    rows = services.list_remote(Repository.create(spark), transport, ["refs/heads/"])
+    return rows.select("name", "symref_target", (F.col("oid") == F.lit(repo.read_ref("HEAD"))).alias("same"))
+
+
+@_query(f"SELECT DISTINCT {_oid('text')} AS oid, octet_length(encode(text)) AS size FROM documents UNION ALL SELECT repeat('f', 40), NULL")
+def service_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes over the wire; null for an id that isn't there."""
+    _, transport = _served(spark, sf_dir)
+    wanted = [r["oid"] for r in X.blobs(spark, sf_dir).select("oid").distinct().collect()] + ["f" * 40]
+    return spark.createDataFrame(list(services.remote_sizes(transport, wanted).items()), "oid string, size bigint")
+
+
+@_query(_A)
+def service_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty repository fetches a tip: negotiation, pack, objects; then the tip's snapshot is read from what arrived."""
+    _, transport = _served(spark, sf_dir)
+    mine = Repository.create(spark)
+    tip = services.list_remote(mine, transport).where("name = 'HEAD'").first()["oid"]
+    got = services.fetch_objects(mine, transport, [tip]).update_refs({"refs/heads/main": tip})
+    return got.snapshot(got.tree_of("HEAD")).where("kind <> 'tree'").select("path", "mode", "oid")
+
+
+@_query(f"SELECT path, mode, oid, 'refs/heads/main' AS ref, true AS ok FROM ({_A})")
+def service_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A push to an empty server, its report, and the server's snapshot after it."""
+    repo = _repository(spark, sf_dir)
+    receive = services.ReceivePackService(Repository.create(spark))
+    report = services.push(repo, services.transport_of(receive=receive), ["refs/heads/*:refs/heads/*"])
+    there = receive.repo
+    return there.snapshot(there.tree_of("refs/heads/main")).where("kind <> 'tree'").select("path", "mode", "oid").crossJoin(F.broadcast(report.select("ref", "ok")))

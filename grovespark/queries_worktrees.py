@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from grovespark import fixtures as X
 from grovespark.errors import NotDirectoryError, NotFileError, NotSymlinkError, PathExistsError, PathNotFoundError
+from grovespark.functions import names, nodes
 from grovespark.functions.oid import oid
 from grovespark.operators import graph, packs, trees, worktree
 from grovespark.plans import importing, pushing
 from grovespark.queries import _A, _B, _DAG, _IMPORT, _LIVE, _OPS, _import_inputs, _live, _oid, _query
-from grovespark.functions import names
 from grovespark.schema import EMPTY_TREE
 from grovespark.storage import Scratch, numbered
 
@@ -142,6 +142,41 @@ def worktree_write_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.where("path = ''").crossJoin(tree.current.agg(F.count("*").alias("files"))).select("files", (F.col("oid") == F.lit(root)).alias("same")).where(F.lit(root == base_root))
 
 
+@_query(f"SELECT path, 'remove' AS change FROM ({_A}) WHERE path LIKE 'src1/%' UNION ALL SELECT 'src2/new.txt', 'create' UNION ALL SELECT 'kept/x', 'create'")
+def worktree_change_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes kept from state to state: a write and a delete refresh one path, a move compares everything."""
+    tree = _tree(spark, sf_dir)
+    index = worktree.ChangeIndex(tree)
+    steps = [("write", "src2/new.txt", lambda t: t.write("src2/new.txt", _NEW)), ("write", "src2/gone", lambda t: t.write("src2/gone", _NEW)), ("delete", "src2/gone", lambda t: t.delete("src2/gone")), ("mkdir", "kept", lambda t: t.mkdir("kept")), ("write", "kept/x", lambda t: t.write("kept/x", _NEW)), ("delete", "src1", lambda t: t.delete("src1"))]
+    plans = []
+    for op, path, step in steps:
+        plans.append(index.plan(op, path))
+        index = index.after(op, path, step(index.tree))
+    assert plans == ["path"] * 5 + ["all"]
+    return index.changes.select("path", "change")
+
+
+@_query("SELECT doc_id, 'origin-path:' || concat(source, '/', lang, '/', doc_id, '.txt') AS id, k AS kind, CASE WHEN k <> 'none' THEN sha1(text) END AS oid, CASE WHEN k = 'repo-blob' THEN '100644' END AS mode, CASE doc_id % 5 WHEN 3 THEN 'an unknown kind' WHEN 4 THEN 'no id' END AS error FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'repo-tree' WHEN 2 THEN 'repo-blob' END AS k FROM documents)")
+def node_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins of nodes from columns, through JSON and back; what is none says why."""
+    d = X.table(spark, sf_dir, "documents").withColumn("path", F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt")))
+    five = F.col("doc_id") % 5
+    kind = F.when(five == 0, "none").when(five == 1, "repo-tree").when(five == 3, "other").otherwise("repo-blob")
+    oid_ = F.when(five != 4, F.sha1(F.col("text").cast("binary")))
+    made = d.select("doc_id", nodes.path_node_id(F.col("path")).alias("id"), nodes.origin(kind, oid_, F.lit("100644")).alias("o"), nodes.origin_error(kind, oid_, F.lit("100644")).alias("error"))
+    back = made.withColumn("o", F.when(F.col("o").isNotNull(), nodes.origin_of_json(nodes.origin_to_json(F.col("o")))))
+    return back.select("doc_id", "id", "o.kind", "o.oid", "o.mode", "error")
+
+
+@_query("SELECT source, count(DISTINCT lang) AS added, cast(count(DISTINCT doc_id) AS INTEGER) AS deleted, true AS dirty, false AS clean, true AS content FROM documents GROUP BY source")
+def node_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlays of directories as JSON and back, and which nodes they make dirty."""
+    d = X.table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("langs"), F.collect_set(F.col("doc_id").cast("string")).alias("gone"))
+    added = F.map_from_entries(F.transform("langs", lambda x: F.struct(x, nodes.new_node_id(x, F.lit(1)))))
+    d = d.withColumn("o", nodes.overlay_of_json(nodes.overlay_to_json(added, F.col("gone")))).withColumn("none", nodes.overlay_of_json(F.lit(None).cast("string")))
+    return d.select("source", F.size(F.map_keys("o.added")).cast("bigint").alias("added"), F.size("o.deleted").alias("deleted"), nodes.is_dirty(F.lit("tree"), F.col("o.added"), F.col("o.deleted"), F.lit(None)).alias("dirty"), nodes.is_dirty(F.lit("tree"), F.col("none.added"), F.col("none.deleted"), F.lit(None)).alias("clean"), nodes.is_dirty(F.lit("blob"), F.col("none.added"), F.col("none.deleted"), F.lit("")).alias("content"))
+
+
 # Patches
 
 
