@@ -18,7 +18,8 @@ crc32(id as text) mod 10 isn't 0 are trained on; words are those of llm.text, th
 5. Documents are scored in the chunks. Words that training documents don't have are in their group's class.
 
 A null or empty text has just its end. A null id counts as the empty text for the fold (held out); rows with the same id are
-documents each. Without training documents (or any) the counts are 0 and scores follow from smoothing alone.
+documents each. Without training documents (or any) the counts are 0 and scores follow from smoothing alone; an empty table
+gives an empty one. Columns other than the id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -247,18 +248,22 @@ def unit_pairs(coded: DataFrame, top: np.ndarray, slots: int) -> np.ndarray:
                 row = _in_rows(units[np.repeat(train, lengths)], lengths[train], n - 1)
                 before = np.concatenate(([n - 1], row[:-1]))[: len(row)]
                 total += np.bincount(before * n + row, minlength=n * n)
-        parts = np.array_split(total, blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "n"])
+        # a task sends the pairs that it met
+        rows = [(block, _pack(cell.astype(np.uint32)), _pack(part[cell])) for block, part in enumerate(np.array_split(total, blocks)) for cell in (np.flatnonzero(part),) if len(cell)]
+        yield _batch(rows, "block cells n", [pa.int32(), pa.binary(), pa.binary()])
+
+    sizes = [len(p) for p in np.array_split(np.zeros(n * n, np.int8), blocks)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, x in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                totals[block] = totals.get(block, 0) + np.frombuffer(x, np.int64)
+            for block, cells, counts in zip(*(batch.column(x).to_pylist() for x in ("block", "cells", "n")), strict=True):
+                total = totals.setdefault(block, np.zeros(sizes[block], np.int64))
+                total[_unpack(cells, np.uint32)] += _unpack(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["block", "n"])
 
-    rows = coded.select("hashes", "endings", "codes", "lengths", "held").mapInArrow(count, "block int, n binary").repartition(min(blocks, shuffle_partitions(coded.sparkSession)), "block").mapInArrow(add, "block int, n binary").collect()
-    out = [p.copy() for p in np.array_split(np.zeros(n * n, np.int64), blocks)]
+    rows = coded.select("hashes", "endings", "codes", "lengths", "held").mapInArrow(count, "block int, cells binary, n binary").repartition(min(blocks, shuffle_partitions(coded.sparkSession)), "block").mapInArrow(add, "block int, n binary").collect()
+    out = [np.zeros(size, np.int64) for size in sizes]
     for r in rows:
         out[r["block"]] = np.frombuffer(r["n"], np.int64)
     return np.concatenate(out).reshape(n, n)
@@ -621,12 +626,16 @@ def refine(coded: DataFrame, words: DataFrame, seed: BrownModel, bits: int, pass
         pairs = class_pairs(new, k)
         if likelihood(pairs) <= likelihood(grid):
             drop_table(new)
+            drop_table(moved)
             break
         drop_table(coded if labels is None else labels)
+        drop_table(now)
         now, labels, grid = moved, new, pairs
     if labels is None:
         labels = label(coded, now, seed, bits)
-    return labels, replace(seed, grid=grid, follow=_follow(grid), tokens=grid.sum(0), types=_types(now, k))
+    types = _types(now, k)
+    drop_table(now)
+    return labels, replace(seed, grid=grid, follow=_follow(grid), tokens=grid.sum(0), types=types)
 
 
 def score(labels: DataFrame, model: BrownModel) -> DataFrame:
@@ -665,4 +674,6 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     sizes = coded.select(F.coalesce(F.sum(F.octet_length("hashes") / 8), F.lit(0)).cast("long").alias("n")).first()["n"]
     bits = max(5, min(24, (sizes // 250_000).bit_length()))
     words = vocabulary(coded, bits)
-    return score(*refine(coded, words, learn(coded, words), bits))
+    labels, model = refine(coded, words, learn(coded, words), bits)
+    drop_table(words)
+    return score(labels, model)
