@@ -10,6 +10,8 @@ import struct
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from grovespark.errors import InvalidPackError, PackError, PackIndexError
 from grovespark.functions.codecs import apply_delta, decode_base_offset, decode_object_header, encode_object_header, object_id
 from grovespark.schema import PACK_TYPE_NUMBERS
@@ -201,22 +203,53 @@ def _padded_names(names: list[str]) -> bytes:
     return raw + bytes(-len(raw) % 4)
 
 
+def midx_pieces(packs: list[str], counts: list[int], large: int, parts, base_layers: int = 0):
+    """The bytes of a multi-pack index, piece by piece, its checksum last. counts: ids by first byte; large: how many offsets
+    take more than 31 bits; parts(): an iterator over (ids, packs, offsets) in the order of ids, each one's bytes in a row
+    (20, 4 and 8 for each), which is read three times."""
+    n = sum(counts)
+    total, fan = 0, []
+    for c in counts:
+        total += c
+        fan.append(total)
+    names = _padded_names(packs)
+    chunks = [(b"PNAM", len(names)), (b"OIDF", 1024), (b"OIDL", 20 * n), (b"OOFF", 8 * n)] + [(b"LOFF", 8 * large)] * bool(large)
+    head = MIDX_MAGIC + struct.pack(">BBBBI", 1, 1, len(chunks), base_layers, len(packs))
+    at, toc = len(head) + 12 * (len(chunks) + 1), b""
+    for name, size in chunks:
+        toc += struct.pack(">4sQ", name, at)
+        at += size
+
+    def body():
+        yield head + toc + struct.pack(">4sQ", b"\0\0\0\0", at) + names + struct.pack(">256I", *fan)
+        for oids, _, _ in parts():
+            yield oids
+        far = 0
+        for _, owners, offsets in parts():
+            place = np.frombuffer(offsets, ">u8").astype(np.int64)
+            beyond = place >= LARGE
+            place[beyond] = LARGE | (far + np.arange(int(beyond.sum())))
+            far += int(beyond.sum())
+            yield np.stack([np.frombuffer(owners, ">u4").astype(np.int64), place], axis=1).astype(">u4").tobytes()
+        for _, _, offsets in parts() if large else ():
+            place = np.frombuffer(offsets, ">u8")
+            yield place[place >= LARGE].tobytes()
+
+    digest = hashlib.sha1()
+    for piece in body():
+        digest.update(piece)
+        yield piece
+    yield digest.digest()
+
+
 def write_midx(packs: list[str], rows: list[tuple[str, int, int]], base_layers: int = 0) -> bytes:
     """rows: (oid, pack number, offset), each id once. packs: names in the order of their numbers."""
     rows = sorted(rows)
-    large = [o for _, _, o in rows if o >= LARGE]
-    place = {o: k for k, o in enumerate(large)}
-    offsets = b"".join(struct.pack(">II", p, LARGE | place[o] if o >= LARGE else o) for _, p, o in rows)
-    chunks = [(b"PNAM", _padded_names(packs)), (b"OIDF", _fanout([r[0] for r in rows])), (b"OIDL", b"".join(bytes.fromhex(r[0]) for r in rows)), (b"OOFF", offsets)]
-    if large:
-        chunks.append((b"LOFF", struct.pack(f">{len(large)}Q", *large)))
-    head = MIDX_MAGIC + struct.pack(">BBBBI", 1, 1, len(chunks), base_layers, len(packs))
-    at, toc = len(head) + 12 * (len(chunks) + 1), []
-    for name, body in chunks:
-        toc.append(struct.pack(">4sQ", name, at))
-        at += len(body)
-    data = head + b"".join(toc) + struct.pack(">4sQ", b"\0\0\0\0", at) + b"".join(b for _, b in chunks)
-    return data + hashlib.sha1(data).digest()
+    counts = [0] * 256
+    for o, _, _ in rows:
+        counts[int(o[:2], 16)] += 1
+    part = (b"".join(bytes.fromhex(o) for o, _, _ in rows), struct.pack(f">{len(rows)}I", *[p for _, p, _ in rows]), struct.pack(f">{len(rows)}Q", *[o for _, _, o in rows]))
+    return b"".join(midx_pieces(packs, counts, sum(o >= LARGE for _, _, o in rows), lambda: iter([part]), base_layers))
 
 
 def read_midx(data: bytes) -> tuple[list[str], list[tuple[str, int, int]]]:

@@ -10,6 +10,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from grovespark.functions.names import require_ref_name
 from grovespark.operators import packs as P
 from grovespark.sources import packfile
 from grovespark.sources.datasource import _store, list_files, read_file
+from grovespark.storage import Scratch
 
 
 def put_file(path: str, data: bytes) -> None:
@@ -32,6 +34,20 @@ def put_file(path: str, data: bytes) -> None:
     store.move(part, base)
 
 
+def put_pieces(folder: str, pieces: Iterator[bytes], name) -> str:
+    """A file of pieces, one after the other; name: its path by its last 20 bytes."""
+    store, base = _store(folder)
+    store.create_dir(base, recursive=True)
+    part, tail = f"{base}/{uuid.uuid4().hex}", b""
+    with store.open_output_stream(part) as f:
+        for piece in pieces:
+            f.write(piece)
+            tail = (tail + piece)[-20:]
+    path = name(tail.hex())
+    store.move(part, _store(path)[1])
+    return path
+
+
 def write_loose(objects: DataFrame, folder: str) -> DataFrame:
     """Every object (type, content) as a compressed file under folder; (oid) of those written. Ids that are there are passed over."""
 
@@ -92,16 +108,48 @@ def write_packs(objects: DataFrame, folder: str, pack: str = "pack", order: str
     return rows.repartition("pack").sortWithinPartitions("pack", "seq").mapInArrow(write, "pack string, name string, objects long")
 
 
-def write_multi_index(index: DataFrame, path: str, preferred: str | None = None) -> int:
-    """One index over packs (pack, oid, offset), duplicates resolved; how many ids it has. The file is one sequence, so its
-    rows (an id and two numbers each) come together on the driver."""
+def _write_midx(index: DataFrame, folder: str, name, preferred: str | None = None, base_layers: int = 0) -> tuple[str, int]:
+    """(path, ids) of a multi-pack index over (pack, oid, offset). Ids are sorted by ranges of their first byte, each one task's, and
+    packed there; the file is one sequence, which the driver writes from those ranges with one of them in memory. The
+    packs' names come to the driver: they are in the file."""
+    spark = index.sparkSession
     names = sorted(r["pack"] for r in index.select("pack").distinct().collect())
-    number = {n: k for k, n in enumerate(names)}
-    numbered = index.withColumn("pack_id", F.create_map(*[F.lit(x) for p in number.items() for x in p])[F.col("pack")] if names else F.lit(0))
-    best = P.winners(numbered.select("oid", "pack_id", "offset"), number.get(preferred))
-    rows = [(r["oid"], r["pack_id"], r["offset"]) for r in best.collect()]
-    put_file(path, packfile.write_midx([n.removesuffix(".pack") + ".idx" for n in names], rows))
-    return len(rows)
+    numbers = spark.createDataFrame(list(enumerate(names)), "pack_id int, pack string")
+    best = P.winners(index.join(numbers, "pack").select("oid", "pack_id", "offset"), names.index(preferred) if preferred in names else None)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            oids, owners, offsets = (b"".join(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_pydict({"first": pa.array([now], pa.int32()), "oids": [oids], "packs": [owners], "offsets": [offsets], "large": pa.array([int((np.frombuffer(offsets, ">u8") >= packfile.LARGE).sum())], pa.int64())})
+
+        for batch in batches:
+            firsts, oids = batch.column("first").to_numpy(), batch.column("oid").to_pylist()
+            owners, offsets = batch.column("pack_id").to_numpy().astype(">u4"), batch.column("offset").to_numpy().astype(">u8")
+            cuts = [0, *(np.flatnonzero(firsts[1:] != firsts[:-1]) + 1).tolist(), len(firsts)] if len(firsts) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if now is not None and firsts[a] != now:
+                    yield done()
+                    held = []
+                now = int(firsts[a])
+                held.append((bytes.fromhex("".join(oids[a:b])), owners[a:b].tobytes(), offsets[a:b].tobytes()))
+        if now is not None:
+            yield done()
+
+    rows = best.select(F.conv(F.substring("oid", 1, 2), 16, 10).cast("int").alias("first"), "oid", "pack_id", "offset").repartition("first").sortWithinPartitions("first", "oid")
+    parts = Scratch(spark).keep(rows.mapInArrow(pack, "first int, oids binary, packs binary, offsets binary, large long"))
+    counts, large = [0] * 256, 0
+    for r in parts.select("first", (F.octet_length("oids") / 20).cast("long").alias("n"), "large").collect():  # 256 rows at most
+        counts[r["first"]], large = r["n"], large + r["large"]
+    stream = lambda: ((bytes(r["oids"]), bytes(r["packs"]), bytes(r["offsets"])) for r in parts.select("first", "oids", "packs", "offsets").orderBy("first").toLocalIterator())
+    pieces = packfile.midx_pieces([n.removesuffix(".pack") + ".idx" for n in names], counts, large, stream, base_layers)
+    return put_pieces(folder, pieces, name), sum(counts)
+
+
+def write_multi_index(index: DataFrame, path: str, preferred: str | None = None) -> int:
+    """One index over packs (pack, oid, offset), duplicates resolved; how many ids it has."""
+    return _write_midx(index, path.rsplit("/", 1)[0], lambda _: path, preferred)[1]
 
 
 def write_refs(folder: str, refs: list[tuple[str, str]]) -> None:
@@ -195,15 +243,11 @@ def write_incremental_index(index: DataFrame, folder: str) -> int:
     """A new layer over packs (pack, oid, offset): ids that no layer has yet; how many. Without new ids nothing is written."""
     spark, layers = index.sparkSession, chain_layers(folder)
     base = chain_index(spark, folder).select("oid") if layers else spark.createDataFrame([], "oid string")
-    fresh = index.join(base, "oid", "left_anti")
-    names = sorted(r["pack"] for r in fresh.select("pack").distinct().collect())
-    if not names:
+    fresh = Scratch(spark).keep(index.select("pack", "oid", "offset").join(base, "oid", "left_anti"))
+    if fresh.isEmpty():
         return 0
-    numbered = fresh.withColumn("pack_id", F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])[F.col("pack")])
-    rows = [(r["oid"], r["pack_id"], r["offset"]) for r in P.winners(numbered.select("oid", "pack_id", "offset")).collect()]
-    data = packfile.write_midx([n.removesuffix(".pack") + ".idx" for n in names], rows, len(layers))
-    name = data[-20:].hex()
-    put_file(f"{folder}/multi-pack-index.d/multi-pack-index-{name}.midx", data)
-    known = [p.rsplit("-", 1)[-1].removesuffix(".midx") for p in layers]
-    put_file(f"{folder}/multi-pack-index.d/multi-pack-index-chain", "\n".join([*known, name, ""]).encode())
-    return len(rows)
+    where = f"{folder}/multi-pack-index.d"
+    path, n = _write_midx(fresh, where, lambda checksum: f"{where}/multi-pack-index-{checksum}.midx", base_layers=len(layers))
+    known = [p.rsplit("-", 1)[-1].removesuffix(".midx") for p in [*layers, path]]
+    put_file(f"{where}/multi-pack-index-chain", "\n".join([*known, ""]).encode())
+    return n
