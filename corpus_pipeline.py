@@ -6,7 +6,9 @@ where lines are deleted. The model, the benchmark and the tokenizer are read fro
 folder of tables and the public tokenizer files.
 
 Rows with a null id pass the filters by their text alone; null and empty texts are clean, are in no line run
-and no group, and pack to a single end id.
+and no group, and pack to a single end id. Of equal lines, texts and groups the earliest by (id, digest of the text) stays; rows
+of the same id and text are one document, with other texts documents each. Columns of documents are carried whatever their
+names. Empty tables give no pieces.
 """
 
 from __future__ import annotations

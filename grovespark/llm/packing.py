@@ -7,7 +7,8 @@ gaps, longest bucket first.
 
 Tokens are written once, as a table in the shared folder; numbering takes a count for each task
 and length, so nothing is shuffled. A null text is empty and holds just the end id; rows with
-the same id are packed apart, each in its own right; an empty table gives no pieces.
+the same id (or none) are packed apart, each in its own right; pieces of equal length are in the order of their tasks; an
+empty table gives no pieces. Columns other than the id and text are not looked at.
 """
 
 from __future__ import annotations
