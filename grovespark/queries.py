@@ -625,7 +625,11 @@ def size_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.size_by_type(both.distinct())
 
 
-@_query()
+@_query("""
+WITH RECURSIVE s(i, k, c) AS (SELECT cast(range AS UBIGINT), 0, cast(range AS UBIGINT) FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM s WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS steps FROM s WHERE k = 8),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: cast('0x' || h AS UBIGINT)) AS bytes FROM documents)
+SELECT doc_id, cast(xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: xor(c >> 8, t.steps[cast(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS crc32 FROM d, t""")
 def crc32_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.with_crc(X.blobs(spark, sf_dir), "text").select("doc_id", "crc32")
 
