@@ -3,9 +3,10 @@
 The decoder reads RIFF containers and the VP8L bit stream: simple and normal prefix codes (canonical,
 with run-length coded lengths), meta prefix codes, LZ77 back-references with the two-dimensional
 distance map, the colour cache, and the inverses of the predictor, cross-colour, subtract-green and
-palette transforms. It writes arrays (height, width, 4) of red, green, blue, alpha. Every image takes the same path:
-one loop over the symbols of its prefix codes, then the inverses of its transforms over whole arrays (the predictor's
-pixel by pixel).
+palette transforms. It writes arrays (height, width, 4) of red, green, blue, alpha. Symbols are read one by one; where
+one code tells the pixels (those of red, blue and alpha take no bits, and there is no cache), what a symbol would be is looked
+up at every bit at once, and only the step from symbol to symbol is a loop. Inverses of transforms go over whole arrays, the
+predictor's pixel by pixel.
 
 The encoder stores bytes as a grey image, a sample a pixel: subtract-green leaves the green channel alone; back-references go
 to the last place with the same LEAST samples; prefix codes are fitted to the image's symbols.
@@ -40,7 +41,7 @@ _DISTANCES = [
 # fmt: on
 LARGEST_SIDE = 1 << 14
 #: Of a prefix code; of those that the encoder makes.
-LONGEST, LONGEST_MADE = 15, 12
+LONGEST, LONGEST_MADE = 15, 10
 
 
 class Bits:
@@ -94,7 +95,10 @@ class Code:
         size = 1 << self.width
         self.mask, self.table = size - 1, [0] * size
         for (n, s), code in zip(used, reversed_codes(np.array([n for n, _ in used])).tolist(), strict=True):
-            self.table[code :: 1 << n] = [s << 4 | n] * (size >> n)
+            if n == self.width:
+                self.table[code] = s << 4 | n
+            else:
+                self.table[code :: 1 << n] = [s << 4 | n] * (size >> n)
 
     def next(self, bits: Bits) -> int:
         entry = self.table[bits.peek(self.width)]
@@ -126,24 +130,40 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     code, left = _code(tuple(meta)), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    at, previous = 0, 8
+    at, previous, table, mask = 0, 8, code.table, code.mask
     if code.only is not None and code.only < 16:  # every length takes no bits
         at = min(left, alphabet)
         lengths[:at] = [code.only] * at
         left = 0
+    data, place = bits.data, (bits.at >> 3) + 24
+    window, have = int.from_bytes(data[place - 24 : place], "little") >> (bits.at & 7), 192 - (bits.at & 7)
     while at < alphabet and left:
+        if have < 24:
+            window |= int.from_bytes(data[place : place + 24], "little") << have
+            place += 24
+            have += 192
         left -= 1
-        symbol = code.next(bits)
+        entry = table[window & mask]
+        window >>= entry & 15
+        have -= entry & 15
+        symbol = entry >> 4
         if symbol < 16:
             lengths[at] = symbol
             at += 1
             previous = symbol or previous
             continue
-        value, times = (previous, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3) if symbol == 17 else 11 + bits.read(7))
+        n, least = (2, 3) if symbol == 16 else (3, 3) if symbol == 17 else (7, 11)
+        times = least + (window & ((1 << n) - 1))
+        window >>= n
+        have -= n
         if at + times > alphabet:
             raise ValueError("a run of code lengths is too long")
-        lengths[at : at + times] = [value] * times
+        if symbol == 16:
+            lengths[at : at + times] = [previous] * times
         at += times
+    bits.at = 8 * place - have
+    if bits.at > bits.end:
+        raise ValueError("the image ends early")
     return _code(tuple(lengths))
 
 
@@ -180,6 +200,8 @@ def _pixels(bits: Bits, codes: list[list[Code]], meta: list[int] | None, tile: i
             flat = [alpha.only << 24 | red.only << 16 | g << 8 | blue.only for g in range(256)]
         groups.append((green.table, green.mask, flat, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask, distance.table, distance.mask))
     green, g_mask, flat, red, r_mask, blue, b_mask, alpha, a_mask, distance, d_mask = groups[0]
+    if flat is not None and meta is None and not cache_bits:
+        return _green(bits, codes[0][0], codes[0][4], width, total).astype(np.uint32) << np.uint32(8) | np.uint32(flat[0])
     cache, shift, kept = [0] * (1 << cache_bits), 32 - cache_bits, 0
     out, at, number = array("I"), 0, int.from_bytes
     put, extend = out.append, out.extend
@@ -251,6 +273,79 @@ def _pixels(bits: Bits, codes: list[list[Code]], meta: list[int] | None, tile: i
     return np.frombuffer(out, np.uint32)
 
 
+#: Bytes of the stream that are looked up at once.
+SEGMENT = 1 << 16
+
+
+def _green(bits: Bits, green: Code, distance: Code, width: int, total: int) -> np.ndarray:
+    """The green samples of an image whose pixels differ in nothing else, as uint8."""
+    if green.only is not None:
+        if green.only > 255:
+            raise ValueError("a back-reference leaves the image")
+        return np.full(total, green.only, np.uint8)
+    raw = np.frombuffer(bits.data, np.uint8)
+    g_table, d_table = np.array(green.table, np.int32), np.array(distance.table, np.int32)
+    at, made, found = bits.at, 0, []
+    while made < total:
+        low = at >> 3
+        if low >= len(raw):
+            raise ValueError("the image ends early")
+        part = np.concatenate((raw[low : low + SEGMENT + 16], np.zeros(16, np.uint8))).astype(np.uint32)
+        word = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+        end = 8 * min(SEGMENT, len(raw) - low)
+
+        def take(place, many, word=word):
+            return (word[place >> 3] >> (place & 7).astype(np.uint32)).astype(np.int64) & ((1 << many) - 1)
+
+        window = (word[: end >> 3, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        entry = g_table[window & np.uint32(green.mask)]
+        step = entry & 15
+        # back-references: a length and a distance, each with the bits that follow its symbol
+        there = np.flatnonzero(entry >= 256 << 4)
+        place, numbers = there + step[there], []
+        for symbol in ((entry[there] >> 4).astype(np.int64) - 256, None):
+            if symbol is None:
+                code = d_table[take(place, distance.width)]
+                place, symbol = place + (code & 15), (code >> 4).astype(np.int64)
+            more = np.where(symbol > 3, (symbol - 2) >> 1, 0)
+            numbers.append(np.where(symbol > 3, ((2 + (symbol & 1)) << more) + take(place, more) + 1, symbol + 1))
+            place = place + more
+        step[there] = place - there
+        steps, mark, here = step.astype(np.uint8).tobytes(), bytearray(end), at & 7
+        while here < end:
+            mark[here] = 1
+            here += steps[here]
+        tokens = np.flatnonzero(np.frombuffer(mark, np.uint8))
+        symbols, counts, back = entry[tokens] >> 4, np.ones(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        far = np.flatnonzero(symbols > 255)
+        which = np.searchsorted(there, tokens[far])
+        counts[far], back[far] = numbers[0][which], numbers[1][which]
+        ends = made + np.cumsum(counts)
+        last = int(np.searchsorted(ends, total))
+        if last < len(tokens):
+            if ends[last] != total:
+                raise ValueError("a back-reference leaves the image")
+            here = int(tokens[last] + step[tokens[last]])
+            symbols, counts, back, ends = symbols[: last + 1], counts[: last + 1], back[: last + 1], ends[: last + 1]
+        found.append((symbols, counts, back))
+        made, at = int(ends[-1]), 8 * low + here
+    bits.at = at
+    if at > bits.end:
+        raise ValueError("the image ends early")
+    symbols, counts, back = (np.concatenate(x) for x in zip(*found, strict=True))
+    start = np.cumsum(counts) - counts
+    plain = symbols < 256
+    samples = np.zeros(total, np.uint8)
+    samples[start[plain]] = symbols[plain]
+    out = bytearray(samples.tobytes())
+    for a, n, d in zip(start[~plain].tolist(), counts[~plain].tolist(), back[~plain].tolist(), strict=True):
+        d = d - 120 if d > 120 else _near(d, width)
+        if d > a:
+            raise ValueError("a back-reference leaves the image")
+        out[a : a + n] = out[a - d : a - d + n] if d >= n else (out[a - d : a] * (n // d + 1))[:n]
+    return np.frombuffer(out, np.uint8)
+
+
 def _channels(argb: np.ndarray) -> np.ndarray:
     """(n, 4) of alpha, red, green, blue as int32."""
     return np.stack([argb >> np.uint32(s) & np.uint32(255) for s in (24, 16, 8, 0)], axis=1).astype(np.int32)
@@ -401,7 +496,10 @@ def decode(data: bytes) -> np.ndarray:
         else:
             argb = _inverse_palette(argb, inner, wide, height, tile, extra)
             inner = wide
-    return argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
+    stored, out = argb.astype("<u4").view(np.uint8).reshape(height, width, 4), np.empty((height, width, 4), np.uint8)
+    for channel, place in enumerate((2, 1, 0, 3)):
+        out[..., channel] = stored[..., place]
+    return out
 
 
 class BitWriter:
@@ -433,7 +531,7 @@ def _header(out: BitWriter, width: int, height: int, alpha: bool = True) -> None
 #: The code that the encoder writes lengths of codes with: its own lengths, by symbol 0 to 18.
 _META = [4, 7, 6, 6, 5, 4, 3, 3, 3, 4, 5, 5, 6, 6, 7, 7, 7, 3, 3]
 #: Samples that a back-reference has at least and at most; its largest distance.
-LEAST, MOST, FARTHEST = 6, 4096, (1 << 20) - 120
+LEAST, MOST, FARTHEST = 8, 4096, (1 << 20) - 120
 
 
 def _coded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -513,9 +611,7 @@ def _matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(samples) - LEAST + 1
     if n < 2:
         return (np.zeros(0, np.int64),) * 3
-    key = samples[:n].astype(np.uint64)
-    for k in range(1, LEAST):
-        key |= samples[k : n + k].astype(np.uint64) << np.uint64(8 * k)
+    key = np.ndarray((n,), "<u8", samples, 0, (1,))  # LEAST samples from each place on, as one number
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = np.flatnonzero(key[1:] == key[:-1])
