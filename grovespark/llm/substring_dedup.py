@@ -119,9 +119,9 @@ def repeated_units(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     first_doc_id, first_start."""
     found = write_table(find_units(docs, least), "units")
     place = F.struct("doc_id", "mark", "start", "end")
-    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     own = F.col("doc_id").eqNullSafe(F.col("first")["doc_id"]) & (F.col("mark") == F.col("first")["mark"]) & (F.col("start") < F.col("first")["end"])
-    later = found.join(first.drop("last"), ["high", "low"]).where(~own)
+    later = found.join(first.drop("times"), ["high", "low"]).where(~own)
     return later.select("doc_id", "mark", "start", "end", "n_words", F.col("first")["doc_id"].alias("first_doc_id"), F.col("first")["start"].alias("first_start"))
 
 
