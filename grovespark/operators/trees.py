@@ -170,36 +170,61 @@ def _apply(leaves: DataFrame, ops: DataFrame) -> Patched:
     return Patched(scratch.keep(placed.unionByName(hollow)), scratch.keep(missing.unionByName(through).unionByName(bad).distinct()))
 
 
+def _inside(path: Column, folder: Column) -> Column:
+    return (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
+
+
+def _rename_all(now: DataFrame, run: list[dict]) -> DataFrame | None:
+    """now after renames that follow each other, as a fold over them in each row; null if one of them finds nothing."""
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r["from_path"]).alias("a"), F.lit(r["to_path"]).alias("b")) for k, r in enumerate(run)])
+    start = F.struct(F.col("path").alias("path"), F.lit(False).alias("gone"), F.array().cast("array<int>").alias("moved"))
+
+    def step(x: Column, r: Column) -> Column:
+        hit = _inside(x["path"], r["a"])
+        return F.struct(
+            F.when(hit, F.concat(r["b"], F.substring(x["path"], F.length(r["a"]) + 1, F.length(x["path"])))).otherwise(x["path"]).alias("path"),
+            (x["gone"] | (_inside(x["path"], r["b"]) & ~hit)).alias("gone"), F.when(hit & ~x["gone"], F.concat(x["moved"], F.array(r["k"]))).otherwise(x["moved"]).alias("moved"),
+        )
+
+    done = Scratch(now.sparkSession).keep(now.select(F.aggregate(steps, start, step).alias("x"), "mode", "oid").select("x.*", "mode", "oid"))
+    if done.select(F.explode("moved")).distinct().count() < len(run):
+        return None
+    return done.where("NOT gone").select("path", "mode", "oid")
+
+
 def patch(leaves: DataFrame, ops: DataFrame) -> Patched:
     """Apply patch_ops (seq, op, path, mode, oid, from_path, to_path) in the order of seq to a snapshot.
     Between renames the last operation on a path counts; a rename moves a leaf or a whole directory, and one onto
-    itself does nothing. errors lists what can't be done; leaves holds the rest."""
+    itself does nothing. errors lists what can't be done; leaves holds the rest. Renames that follow each other are one step."""
     spark, scratch = leaves.sparkSession, Scratch(leaves.sparkSession)
     now, errors = leaves.select("path", "mode", "oid"), None
-    renames = [r.asDict() for r in ops.where("op = 'rename'").orderBy("seq").collect()]  # each is a step of its own
-    low = None
-    for rename in [*renames, None]:
-        part = ops.where("op <> 'rename'")
-        part = part if low is None else part.where(F.col("seq") > low)
-        part = part if rename is None else part.where(F.col("seq") < rename["seq"])
-        done = _apply(now, part)
-        now = done.leaves
-        errors = done.errors if errors is None else errors.unionByName(done.errors)
-        if rename is None:
-            break
-        low = rename["seq"]
-        a, b = rename["from_path"], rename["to_path"]
-        if a == b:
-            continue
-        now = scratch.keep(now)
-        inside = (F.col("path") == a) | F.col("path").startswith(f"{a}/")
-        moved = now.where(inside)
-        if moved.isEmpty():
-            errors = errors.unionByName(spark.createDataFrame([(low, a, "nothing there to rename")], "seq int, path string, error string"))
-            continue
-        target = (F.col("path") == b) | F.col("path").startswith(f"{b}/")
-        shifted = moved.select(F.concat(F.lit(b), F.substring(F.col("path"), F.lit(len(a) + 1), F.length("path"))).alias("path"), "mode", "oid")
-        now = scratch.keep(now.where(~inside & ~target).unionByName(shifted))
+    renames = [r.asDict() for r in ops.where("op = 'rename'").orderBy("seq").collect()]
+    plain = ops.where("op <> 'rename'").withColumn("__slot", F.lit(0))
+    if renames:
+        # how many renames come before each operation
+        before = F.array(*[F.lit(r["seq"]) for r in renames])
+        plain = scratch.keep(plain.withColumn("__slot", F.size(F.filter(before, lambda s: s < F.col("seq")))))
+    slots = {r["__slot"] for r in plain.select("__slot").distinct().collect()}
+    bad = lambda low, path: spark.createDataFrame([(low, path, "nothing there to rename")], f"seq {ops.schema['seq'].dataType.simpleString()}, path string, error string")
+    run: list[dict] = []
+    for k in range(len(renames) + 1):
+        if run and (k in slots or k == len(renames)):
+            now = scratch.keep(now)
+            after = _rename_all(now, run)
+            for r in run if after is None else ():
+                if now.where(_inside(F.col("path"), F.lit(r["from_path"]))).isEmpty():
+                    errors = bad(r["seq"], r["from_path"]) if errors is None else errors.unionByName(bad(r["seq"], r["from_path"]))
+                else:
+                    now = _rename_all(now, [r])
+            now, run = now if after is None else after, []
+        if k in slots:
+            done = _apply(now, plain.where(F.col("__slot") == k).drop("__slot"))
+            now = done.leaves
+            errors = done.errors if errors is None else errors.unionByName(done.errors)
+        if k < len(renames) and renames[k]["from_path"] != renames[k]["to_path"]:
+            run.append(renames[k])
+    if errors is None:
+        errors = bad(None, "").limit(0)
     return Patched(now, errors)
 
 

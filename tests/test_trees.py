@@ -183,3 +183,27 @@ def test_bulk_forms_agree_with_steps(spark):
     assert rows(overlay(base, few), "path", "oid") == [("a", B), ("d/y", B), ("n", C), ("s/t/u", C)]
     moves = spark.createDataFrame([("move", "d", "q/r"), ("copy", "s/t", "c"), ("move", "a", "b")], "op string, from_path string, to_path string")
     assert rows(rewrite(base, moves), "path") == [("b",), ("c/u",), ("q/r/x",), ("q/r/y",), ("s/t/u",)]
+
+
+def test_runs_of_renames_agree_with_steps(spark):
+    """Renames that follow each other, among them chains, onto what is there, and ones that find nothing."""
+    r = random.Random(3)
+    for trial in range(6):
+        files = {f"{a}/{b}/{c}" for a in "xyz" for b in "pq" for c in "12" if r.random() < 0.8}
+        ops, want, gone = [], {f: f for f in files}, []
+        for seq in range(1, 7):
+            a, b = (r.choice(["x", "y", "z", "x/p", "y/q", "w", "v", "x/p/1"]) for _ in range(2))
+            if b.startswith(f"{a}/"):
+                continue
+            ops.append((seq, "rename", None, None, None, a, b))
+            inside = lambda path, top: path == top or path.startswith(f"{top}/")
+            if a == b:
+                continue
+            if not any(inside(p, a) for p in want):
+                gone.append((seq, a))
+                continue
+            want = {(b + p[len(a) :] if inside(p, a) else p): f for p, f in want.items() if inside(p, a) or not inside(p, b)}
+        leaves = spark.createDataFrame([(f, "100644", f) for f in sorted(files)], "path string, mode string, oid string")
+        done = trees.patch(leaves, spark.createDataFrame(ops, "seq int, op string, path string, mode string, oid string, from_path string, to_path string"))
+        assert rows(done.leaves, "path", "oid") == sorted(want.items()), (trial, ops)
+        assert rows(done.errors, "seq", "path") == gone
