@@ -497,18 +497,16 @@ def links(sets: DataFrame) -> DataFrame:
     member = families(sets)
     placed = sets.select("node", "n").join(member.withColumnRenamed("component", "family"), "node")
     weight = placed.groupBy("family").agg(F.sum("n").alias("weight"))
+    name = lambda *parts: F.xxhash64("family", *parts)
+    whole = lambda rows, *more: rows.join(sets, "node").select("group", "node", "n", "tokens", *more)
+    if weight.where(F.col("weight") > BLOCK).isEmpty():  # every family is one block
+        return write_table(_joined(whole(placed.select("node", name().alias("group")), F.col("node").alias("comp"), F.lit(0).alias("side"))), "found")
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int")
     placed = placed.join(weight, "family").select("node", "n", "family", F.when(F.col("weight") > BLOCK, size).otherwise(-1).alias("size"))
     sizes = write_table(placed.groupBy("family", "size").agg(F.expr(f"cast((sum(n) + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")), "sizes")
     blocks = write_table(placed.join(sizes, ["family", "size"]).select("node", "n", "family", "size", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
-    name = lambda *parts: F.xxhash64("family", *parts)
-    whole = lambda rows, *more: rows.join(sets, "node").select("group", "node", "n", "tokens", *more)
     found = write_table(_joined(whole(blocks.select("node", name("size", "block").alias("group")), F.col("node").alias("comp"), F.lit(0).alias("side"))), "found")
     large = blocks.where("size >= 0")
-    if large.isEmpty():
-        for table in (blocks, sizes):
-            drop_table(table)
-        return found
     for step in ("midst", "pairs"):
         now = components(found)
         state = large.join(now, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
