@@ -59,7 +59,7 @@ class Repository:
         writers.init_repository(folder)
         writers.write_loose(self.objects, f"{folder}/objects").count()
         writers.write_refs(folder, [(r["name"], r["target"]) for r in self.refs.collect()])
-        writers.write_shallow(folder, [r["oid"] for r in self.shallow.collect()])
+        writers.write_shallow(folder, self.shallow)
 
     def save(self, folder: str) -> None:
         for name in ("objects", "shallow", "refs"):  # refs last: what they name is there by then

@@ -255,7 +255,7 @@ def shallow_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shallow list as a file, written sorted and read back."""
     folder = _folder(spark)
     rows = X.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lpad(F.col("o_orderkey").cast("string"), 40, "0").alias("oid"))
-    writers.write_shallow(folder, [r["oid"] for r in rows.collect()])
+    writers.write_shallow(folder, rows)
     return spark.read.text(f"{folder}/shallow").select(F.col("value").alias("oid"))
 
 

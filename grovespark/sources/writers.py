@@ -6,6 +6,7 @@ one task's work; many packs are written at once by giving rows a pack number.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -177,11 +178,20 @@ def delete_packed_ref(folder: str, name: str) -> None:
     put_file(path, ("\n".join(kept) + "\n").encode())
 
 
-def write_shallow(folder: str, oids: list[str]) -> None:
-    """The shallow list, sorted; an empty one is no file."""
+def write_shallow(folder: str, oids: DataFrame) -> None:
+    """The shallow list (oid), sorted; an empty one is no file. Ids are sorted by ranges and tasks join their lines; the driver writes
+    them one range after the other."""
     path = f"{folder}/shallow"
-    if oids:
-        put_file(path, ("\n".join(sorted(oids)) + "\n").encode())
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"lines": [("\n".join(batch.column("oid").to_pylist()) + "\n").encode()]})
+
+    pieces = (bytes(r["lines"]) for r in oids.select("oid").orderBy("oid").mapInArrow(lines, "lines binary").toLocalIterator())
+    first = next(pieces, None)
+    if first is not None:
+        put_pieces(folder, itertools.chain([first], pieces), lambda _: path)
     else:
         store, base = _store(path)
         if store.get_file_info(base).type == fs.FileType.File:

@@ -182,3 +182,23 @@ def test_recorded_listings(spark, tmp_path):
         assert rows(got) == want and got.where(F.col("name").startswith("refs/tags/")).count() == 1
     (tmp_path / "sizes").write_bytes(protocol.write_sizes({"a" * 40: 7, "b" * 40: None}))
     assert rows(spark.read.format("repo_sizes").load(str(tmp_path / "sizes"))) == [("a" * 40, 7), ("b" * 40, None)]
+
+
+def test_shallow_list_is_written_by_ranges(spark, tmp_path, monkeypatch):
+    """No more than a range's lines are on the driver: the list isn't collected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from grovespark import queries_files
+
+    monkeypatch.setattr(DataFrame, "collect", lambda _: pytest.fail("the list was collected"))
+    folder = f"file://{tmp_path}"
+    ids = spark.range(30_000).select(F.sha1(F.col("id").cast("string")).alias("oid")).repartition(7)
+    writers.write_shallow(folder, ids)
+    monkeypatch.undo()
+    want = sorted(r["oid"] for r in ids.collect())
+    assert (tmp_path / "shallow").read_text() == "\n".join(want) + "\n" and [p.name for p in tmp_path.iterdir()] == ["shallow"]
+    writers.write_shallow(folder, ids.where("false"))
+    writers.write_shallow(folder, ids.where("false"))
+    assert not list(tmp_path.iterdir()), "an empty list is no file"
+    monkeypatch.setattr(DataFrame, "collect", lambda _: pytest.fail("the list was collected"))
+    assert queries_files.shallow_file(spark, "/root/testdata/sf0.001").count() > 0
