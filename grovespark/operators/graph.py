@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,8 @@ from grovespark.storage import Scratch, numbered
 
 #: Edges (two ids each) that are taken to the driver at most.
 SMALL = 500_000
+#: Commits of short phases that a task puts in order together, about.
+TOGETHER = 100_000
 
 
 def _few(rows: DataFrame, small: int):
@@ -66,6 +71,7 @@ def closure(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None, s
                     todo.append(p)
         return _ids(spark, sorted(seen), edges)
     scratch = Scratch(spark)
+    edges = scratch.keep(edges.select("child", "parent"))  # every level reads them
     frontier = scratch.keep(roots)
     seen = frontier
     while not frontier.isEmpty():
@@ -263,16 +269,19 @@ def history(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: Dat
     return out if since is None else out.where(F.col("ts") >= since)
 
 
-def log(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: DataFrame | None = None, order: str = "date", first_parent: bool = False, since: int | None = None, until: int | None = None, skip: int = 0, max_count: int | None = None, small: int = SMALL) -> DataFrame:
+def log(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: DataFrame | None = None, order: str = "date", first_parent: bool = False, since: int | None = None, until: int | None = None, skip: int = 0, max_count: int | None = None, small: int | None = None) -> DataFrame:
     """The history of start, newest first, with `position` from 0 after skip. commits: oid, ts (the committer's time) and others.
 
     date: by time, then generation (a child before its parent of the same time), then id. since prunes the walk.
     topo: a child always before its parents, the newest first among those ready; since and until only hide rows.
+    small: what is walked on the driver at most, SMALL unless given. A caller that gives it also bounds the topological order, which
+    is then made on the driver alone (HistoryTooLargeError beyond `small` and SMALL); else tasks order larger histories.
     Parents that aren't there are passed over; a start that isn't there gives nothing."""
+    bounded, small = small is not None, SMALL if small is None else small
     edges = Scratch(commits.sparkSession).keep(edges)  # several walks read them
     found = history(commits, edges, start, exclude, first_parent, since if order == "date" else None, small)
     if order == "topo":
-        rank = _topo_order(found, edges.where("ord = 0") if first_parent else edges, max(small, SMALL))
+        rank = _topo_order(found, edges.where("ord = 0") if first_parent else edges, max(small, SMALL), bounded)
         kept = found.join(rank, "oid")
         if since is not None:
             kept = kept.where(F.col("ts") >= since)
@@ -290,16 +299,18 @@ def log(commits: DataFrame, edges: DataFrame, start: DataFrame, exclude: DataFra
     return out.where(F.col("position") >= skip).withColumn("position", F.col("position") - skip).drop("__rank", "generation")
 
 
-def _topo_order(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(oid, __rank): the order in which commits become ready, newest first. Which one comes next depends on all before it, so
-    this order can't be dealt to tasks: ids and times of the commits found (not their contents) are put in order on the driver, `most` of
-    them and of their edges at most. HistoryTooLargeError beyond that: topo_levels() orders any number."""
+def _topo_order(found: DataFrame, edges: DataFrame, most: int, bounded: bool) -> DataFrame:
+    """(oid, __rank): the order in which commits become ready, newest first. Ids and times of up to `most` commits (not their
+    contents) and as many edges are put in order on the driver; more of them by tasks or, if bounded, not at all."""
     spark = found.sparkSession
     ids = found.select("oid")
     inside = edges.join(ids.withColumnRenamed("oid", "child"), "child", "left_semi").join(ids.withColumnRenamed("oid", "parent"), "parent", "left_semi")
-    rows, pairs = _few(found.select("oid", "ts"), most), _few(inside.select("child", "parent").distinct(), most)
-    if rows is None or pairs is None:
-        raise HistoryTooLargeError(f"more than {most} commits or edges in topological order")
+    rows = _few(found.select("oid", "ts"), most)
+    pairs = _few(inside.select("child", "parent").distinct(), most) if rows is not None else None
+    if pairs is None:
+        if bounded:
+            raise HistoryTooLargeError(f"more than {most} commits or edges in topological order")
+        return _topo_phases(found, edges)
     times = dict(zip(rows.column("oid").to_pylist(), rows.column("ts").to_pylist(), strict=True))
     near, waits = defaultdict(list), defaultdict(int)
     for child, parent in zip(pairs.column("child").to_pylist(), pairs.column("parent").to_pylist(), strict=True):
@@ -318,6 +329,78 @@ def _topo_order(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return spark.createDataFrame(out, f"oid {found.schema['oid'].dataType.simpleString()}, __rank long")
 
 
+def _topo_phases(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """_topo_order() of any number of commits, by phases. A commit comes when it's the first in (newest, id) of those ready. Its phase is the
+    last in that order of itself and all that reach it: nothing of a later phase comes before all of an earlier one has come,
+    as of those that wait one is ready that is no later than its phase. So phases follow each other by their key, a phase's
+    own commit is its first, and the rest of it depends on nothing outside. Where no parent is newer than its child, and none
+    of the same time has the smaller id, each commit is a phase; the others are raised to the phase of a child, a job for each
+    step on the way. What was raised to one phase is put in order by one task, which holds about a hundred bytes for each of them."""
+    scratch = Scratch(found.sparkSession)
+    nodes = scratch.keep(found.groupBy("oid").agg(F.max("ts").alias("ts")).select("oid", F.struct((-F.col("ts")).alias("late"), F.col("oid").alias("first")).alias("key")))
+    ends = [nodes.select(F.col("oid").alias(side), F.col("key").alias(key)) for side, key in (("child", "start"), ("parent", "own"))]
+    links = scratch.keep(edges.select("child", "parent").distinct().join(ends[0], "child").join(ends[1], "parent"))
+    step, raised = links.where("start > own").groupBy(F.col("parent").alias("oid")).agg(F.max("start").alias("phase")), None
+    while True:
+        if raised is not None:
+            step = step.join(raised.withColumnRenamed("phase", "was"), "oid", "left").where("was IS NULL OR phase > was").drop("was")
+        frontier = scratch.keep(step)
+        if frontier.isEmpty():
+            break
+        raised = frontier if raised is None else scratch.keep(raised.union(frontier).groupBy("oid").agg(F.max("phase").alias("phase")))
+        step = frontier.join(links, F.col("oid") == F.col("child")).where("phase > own").groupBy(F.col("parent").alias("oid")).agg(F.max("phase").alias("phase"))
+    if raised is None:
+        return nodes.select("oid", F.struct("key.late", "key.first", F.lit(0).cast("long").alias("n")).alias("__rank"))
+    above, below = raised.select(F.col("oid").alias("child"), F.col("phase").alias("above")), raised.select(F.col("oid").alias("parent"), "phase")
+    inner = links.join(below, "parent").join(above, "child").where("above = phase").groupBy(F.col("child").alias("oid")).agg(F.collect_list("parent").alias("parents"))
+    rows = nodes.join(raised, "oid").join(inner, "oid", "left").select(F.col("phase.late").alias("late"), F.col("phase.first").alias("first"), F.col("key.late").alias("own"), "oid", "parents")
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            nonlocal count
+            out = _ready_order(table.column("oid").combine_chunks(), table.column("parents").combine_chunks())
+            count += len(out)
+            return pa.RecordBatch.from_arrays([table.column("oid").combine_chunks().take(pa.array(out)), pa.array(np.arange(count - len(out), count) + 1)], ["oid", "n"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER:
+                # all but the last phase are whole
+                table = pa.Table.from_batches(held)
+                whole = pc.index(table.column("first"), table.column("first")[-1]).as_py()
+                if whole:
+                    yield done(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    kind = found.schema["oid"].dataType.simpleString()
+    ranks = rows.repartition("late", "first").sortWithinPartitions("late", "first", "own", "oid").mapInArrow(order, f"oid {kind}, n long")
+    at = nodes.join(raised, "oid", "left").join(scratch.keep(ranks), "oid", "left").select("oid", F.coalesce("phase", "key").alias("phase"), F.coalesce("n", F.lit(0)).alias("n"))
+    return at.select("oid", F.struct("phase.late", "phase.first", "n").alias("__rank"))
+
+
+def _ready_order(oids: pa.Array, parents: pa.Array) -> np.ndarray:
+    """Places of oids in the order in which they become ready, the first place first among those; parents (a list or null for each)
+    wait for their children."""
+    n = len(oids)
+    near = pc.index_in(pc.list_flatten(parents), value_set=oids).to_numpy(zero_copy_only=False).astype(np.int64)
+    stops = np.searchsorted(pc.list_parent_indices(parents).to_numpy(zero_copy_only=False), np.arange(n + 1))
+    waits = np.bincount(near, minlength=n)
+    ready, out, count = np.flatnonzero(waits == 0).tolist(), np.zeros(n, np.int64), 0
+    while ready:
+        now = heapq.heappop(ready)
+        out[count] = now
+        count += 1
+        for p in near[stops[now] : stops[now + 1]].tolist():
+            waits[p] -= 1
+            if not waits[p]:
+                heapq.heappush(ready, p)
+    return out[:count]
+
+
 def all_closures(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, oid): a closure for each root: the materialised form of reachability bitmaps. One loop walks all roots."""
     scratch = Scratch(edges.sparkSession)

@@ -163,3 +163,25 @@ def test_topological_order_has_a_bound(spark, monkeypatch):
     assert [r["oid"] for r in graph.log(commits, edges, spark.createDataFrame([(4,)], "oid long"), order="topo").orderBy("position").collect()] == [4, 3, 2, 1, 0]
     with pytest.raises(HistoryTooLargeError):
         graph.log(commits, edges, start, order="topo", small=1)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_topological_order_of_a_large_history(spark, monkeypatch, kind):
+    """More commits than the driver takes are put in order by tasks, in the same order, whatever their clocks."""
+    monkeypatch.setattr(graph, "TOGETHER", 4)
+    r = random.Random(21)
+    name = (lambda n: n) if kind == "long" else (lambda n: f"{n * 79 % 100:02d}")
+    edges = [(name(n), name(p), k) for n in range(24) for k, p in enumerate(r.sample(range(max(0, n - 9), n), min(n, r.choice([0, 1, 1, 2]))))]
+    e = spark.createDataFrame([*edges, edges[0], (name(25), name(3), 0)], f"child {kind}, parent {kind}, ord int")
+    for times in (list(range(24)), [r.randrange(3) for _ in range(24)], [n if n % 9 else 12 - n for n in range(24)]):
+        c = spark.createDataFrame([(name(n), t) for n, t in enumerate(times)], f"oid {kind}, ts long")
+        by = lambda most: [x["oid"] for x in graph._topo_order(c, e, most, False).orderBy("__rank").collect()]  # noqa: B023, E731
+        assert by(5) == by(graph.SMALL) and len(by(5)) == 24
+
+
+def test_log_of_a_large_history_in_topological_order(spark, monkeypatch):
+    times = [0, 3, 3, 2, 5, 5]
+    c, e = commits(spark, dict(enumerate(times))), table(spark, {5: [4, 3], 4: [2], 3: [1], 2: [0], 1: [0]})
+    want = order(graph.log(c, e, ids(spark, 5), order="topo"))
+    monkeypatch.setattr(graph, "SMALL", 4)
+    assert order(graph.log(c, e, ids(spark, 5), order="topo")) == want == [5, 4, 2, 3, 1, 0]
