@@ -175,7 +175,7 @@ def vocabulary(coded: DataFrame, bits: int) -> DataFrame:
     schema = "bucket int, hashes binary, counts binary, endings binary"
     sent = coded.select("hashes", "counts", "endings").mapInArrow(send, schema)
     ordered = sent.repartition(shuffle_partitions(coded.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return write_table(ordered.mapInArrow(add, schema), "vocabulary")
+    return write_table(ordered.mapInArrow(add, schema), "vocabulary", release=True)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -491,7 +491,7 @@ def label(coded: DataFrame, assigned: DataFrame, model: BrownModel, bits: int) -
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in texts_.schema if f.name in ("hashes", "endings", "codes", "doc_ids", "lengths", "held")]
     both = answers.select("chunk", "bucket", "known", "classes", *empty).unionByName(texts_)
     # a chunk's counts come in the order of its hashes, then its texts
-    return write_table(both.repartition(n, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("bucket")).mapInArrow(join, _LABELS_SQL), "labels")
+    return write_table(both.repartition(n, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("bucket")).mapInArrow(join, _LABELS_SQL), "labels", release=True)
 
 
 def class_pairs(labels: DataFrame, k: int) -> np.ndarray:
@@ -586,7 +586,7 @@ def move(coded: DataFrame, assigned: DataFrame, model: BrownModel, grid: np.ndar
     none = F.lit(None).cast("binary")
     ranges = assigned.select("bucket", "counts", "classes", "hashes", none.alias("number"), none.alias("keys"), none.alias("n"))
     ordered = ranges.unionByName(sent).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("classes").isNull())
-    return write_table(ordered.mapInArrow(best, _ASSIGNED_SQL), "classes")
+    return write_table(ordered.mapInArrow(best, _ASSIGNED_SQL), "classes", release=True)
 
 
 def _seeded(words: DataFrame, model: BrownModel) -> DataFrame:

@@ -34,11 +34,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/grovespark/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and return the table that reads it back."""
+#: Whether a write deletes the shuffle files that led to it; else they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, name: str, codec: str = "zstd", release: bool = False) -> DataFrame:
+    """Write df to the shared folder and return the table that reads it back. release: without the shuffle files that led to it."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._grovespark_path = path
     return table

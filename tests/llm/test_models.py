@@ -352,3 +352,14 @@ def test_words_and_shingles():
     assert got == [(t or "").encode().lower().split() for t in texts]
     sets = [shingle_set(part.of(i)) for part in chunks(pa.array(["a b c d e f", "A  b c D e F", "a b c d", "a b c d e", "", "b a c d"])) for i in range(len(part))]
     assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 1] and (sets[0] == sets[1]).all() and sets[2][0] != sets[5][0] and sets[3][0] in sets[0]
+
+
+def test_brown_tables_leave_no_shuffle_files(spark):
+    """Shuffles of a table that is written are deleted then, not when the driver happens to collect its garbage."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: {f for f in str(env.blockManager().diskBlockManager().getAllFiles().mkString("\n")).splitlines() if "/shuffle_" in f}
+    coded = M.code(docs(spark, [(k, f"a b c {k}") for k in range(20)]))
+    before = held()
+    words = M.vocabulary(coded, 5)
+    assert not held() - before
+    assert words.selectExpr("sum(octet_length(hashes)) / 8").first()[0] > 3
